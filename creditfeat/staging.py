@@ -7,8 +7,10 @@ folder, so losing an executor never loses a staged table.
 from __future__ import annotations
 
 import functools
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +60,19 @@ def lookup(df: DataFrame, table: DataFrame, on: list[str], small: bool) -> DataF
     """Left join with a fitted table. Only a counted, small table is broadcast; a large one
     is shuffled, where adaptive execution splits hot keys of the left side."""
     return df.join(F.broadcast(table) if small else table, on, "left")
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, for the few steps that run Python in tasks."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="creditfeat-code-")) / package.name
+    context.addPyFile(
+        shutil.make_archive(str(target), "zip", root_dir=package.parent, base_dir=package.name)
+    )
+    _shipped.add(context.applicationId)
