@@ -27,9 +27,9 @@ class Catalog:
 
 
 def _subjects() -> list[Catalog]:
-    from creditfeat.catalog import encoding
+    from creditfeat.catalog import encoding, files, neighbours, preparing, profiling, scoring
 
-    return [encoding.CATALOG]
+    return [m.CATALOG for m in (files, preparing, profiling, scoring, encoding, neighbours)]
 
 
 def queries() -> dict[str, Query]:

@@ -203,7 +203,7 @@ def raw_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     a = applicants(spark, sf_dir)
 
     def money_text(c: str) -> str:
-        return f"concat('$', format_number({c}, 2)) as {c}"
+        return f"concat('$', format_number({c}, 4)) as {c}"
 
     return {
         "application_metadata": a.selectExpr(
@@ -249,8 +249,7 @@ def raw_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         # Applicants without order lines have no row here.
         "financial_ratios": a.where("monthly_income is not null").selectExpr(
             "customer_ref as cust_num",
-            *[money_text(c) for c in schemas.MONEY_COLUMNS if c != "existing_monthly_debt"],
-            "concat('$', format_number(existing_monthly_debt, 4)) as existing_monthly_debt",
+            *[money_text(c) for c in schemas.MONEY_COLUMNS],
             "debt_to_income_ratio",
             "debt_service_ratio",
             "payment_to_income_ratio",
