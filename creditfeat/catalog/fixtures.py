@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from creditfeat import schemas
 from creditfeat.operators.folds import with_folds, with_split
+from creditfeat.staging import stage
 
 # Aggregates of an order's lines.
 LINES = {
@@ -200,7 +201,7 @@ def pick(texts: Sequence[str], number: str) -> str:
 
 def raw_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The six source tables in raw form: money as text, dirty categories, text numbers."""
-    a = applicants(spark, sf_dir)
+    a = stage(applicants(spark, sf_dir), "applicants")
 
     def money_text(c: str) -> str:
         return f"concat('$', format_number({c}, 4)) as {c}"

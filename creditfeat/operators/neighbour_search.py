@@ -8,8 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 
 SLICE = 128  # queries handled together
-SPAN = 65_536  # reference points compared at once
+SPAN = 32_768  # reference points compared at once
 DECIMALS = 9  # squared distances equal to this many decimals are ties, broken by key
+FIRST = 16  # times k: nearest rows that give the first bound on the k-th distance
+SPARE = 16  # candidates beyond k that are looked at before proving the k complete
 
 
 @dataclass
@@ -45,46 +47,87 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
-def _narrow(approx: np.ndarray, limit: np.ndarray, slack: np.ndarray, k: int) -> np.ndarray:
-    """Column numbers, equally many per row, that contain every point that can be among
-    the k nearest and within ``limit``. ``approx`` is exact up to ``slack``."""
-    width = approx.shape[1]
-    take = min(k + 16, width)
-    while True:
-        if take == width:
-            return np.broadcast_to(np.arange(width), approx.shape)
-        chosen = np.argpartition(approx, take - 1, axis=1)[:, :take]
-        values = np.take_along_axis(approx, chosen, axis=1)
-        kth = np.partition(values, k - 1, axis=1)[:, k - 1] if take >= k else values.max(1)
-        need = np.minimum(kth + slack, limit)
-        if (values.max(1) > need).all():
-            break
-        take = min(max(int((approx <= need[:, None]).sum(1).max()) + 1, 2 * take), width)
-    inside = int((values <= need[:, None]).sum(1).max())
-    if inside < take // 2:  # late blocks rarely contribute much
-        shrink = np.argpartition(values, max(inside - 1, 0), axis=1)[:, :inside]
-        chosen = np.take_along_axis(chosen, shrink, axis=1)
-    return chosen
+def chain(centres: np.ndarray) -> np.ndarray:
+    """An order of the centres in which neighbours in the order are near in space."""
+    left = np.ones(len(centres), bool)
+    order, at = [], 0
+    for _ in range(len(centres)):
+        order.append(at)
+        left[at] = False
+        gap = ((centres - centres[at]) ** 2).sum(1)
+        gap[~left] = np.inf
+        at = int(gap.argmin())
+    return np.array(order, dtype=np.int64)
+
+
+def _lower_bounds(q: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Squared distances in single precision, lowered by the largest possible error."""
+    middle = q.mean(0)
+    a, b = (q - middle).astype(np.float32), (points - middle).astype(np.float32)
+    safe = np.float32(1 - 8 * (q.shape[1] + 8) * np.finfo(np.float32).eps)
+    low = a @ (-2 * b).T
+    low += ((a * a).sum(1) * safe)[:, None]
+    low += ((b * b).sum(1) * safe)[None, :]
+    return low
+
+
+def _below(low: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Column numbers per row with low <= limit, padded; and which of them are real."""
+    mask = low <= limit[:, None]
+    counts = mask.sum(1)
+    rows, cols = np.divmod(np.flatnonzero(mask), low.shape[1])
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+    chosen = np.zeros((len(low), int(counts.max(initial=0))), np.int64)
+    real = np.zeros(chosen.shape, bool)
+    chosen[rows, place] = cols
+    real[rows, place] = True
+    return chosen, real
+
+
+def _keep(dist: np.ndarray, rows: np.ndarray, keys: np.ndarray, k: int) -> tuple:
+    """The k smallest by (distance, key) of every row, in no order."""
+    if dist.shape[1] <= k:
+        return dist, rows
+    order = np.argpartition(dist, [k - 1, k], axis=1)
+    edge = np.take_along_axis(dist, order[:, k - 1 : k + 1], axis=1)
+    tied = np.flatnonzero((edge[:, 0] == edge[:, 1]) & np.isfinite(edge[:, 0]))
+    order = order[:, :k]
+    if len(tied):
+        order[tied] = np.lexsort((keys[rows[tied]], dist[tied]), axis=1)[:, :k]
+    return np.take_along_axis(dist, order, axis=1), np.take_along_axis(rows, order, axis=1)
+
+
+def _merge(q, ref, rows, chosen, real, best, k) -> tuple:
+    """Add the ``chosen`` points with exact distances to the k best."""
+    picked = rows[chosen]
+    exact = np.empty(chosen.shape)
+    step = max(1, 2**18 // max(1, chosen.shape[1] * q.shape[1]))
+    for i in range(0, len(q), step):  # bounds the memory of the differences
+        diff = ref.points[picked[i : i + step]]
+        diff -= q[i : i + step, None, :]
+        exact[i : i + step] = np.einsum("ijk,ijk->ij", diff, diff)
+    np.round(exact, DECIMALS, out=exact)
+    exact[~real] = np.inf
+    dist, near = (np.concatenate(p, axis=1) for p in zip(best, (exact, picked), strict=True))
+    return _keep(dist, near, ref.keys, k)
 
 
 def _scan(q: np.ndarray, ref: Reference, rows: np.ndarray, best: tuple, k: int) -> tuple:
-    """Merge reference ``rows`` into the k best of every query."""
+    """Merge reference ``rows``, nearest cells first, into the k best of every query."""
     for at in range(0, len(rows), SPAN):
         part = rows[at : at + SPAN]
-        points = ref.points[part]
-        q_norm, p_norm = (q * q).sum(1), (points * points).sum(1)
-        approx = q_norm[:, None] + p_norm[None, :] - 2.0 * (q @ points.T)
-        rounding = 4 * (q.shape[1] + 8) * np.finfo(float).eps * (q_norm + p_norm.max())
-        slack = 2 * rounding + 2 * 10.0**-DECIMALS
-        chosen = _narrow(approx, best[0][:, -1] + slack, slack, k)
-        if chosen.shape[1] == 0:
-            continue
-        diff = q[:, None, :] - points[chosen]
-        exact = np.round(np.einsum("ijk,ijk->ij", diff, diff), DECIMALS)
-        found = (exact, ref.keys[part][chosen], ref.labels[part][chosen])
-        dist, keys, labels = (np.concatenate(p, axis=1) for p in zip(best, found, strict=True))
-        order = np.lexsort((keys, dist), axis=1)[:, :k]
-        best = tuple(np.take_along_axis(a, order, axis=1) for a in (dist, keys, labels))
+        low = _lower_bounds(q, ref.points[part])
+        limit = best[0].max(1)
+        if not np.isfinite(limit).all():
+            # No bound yet: the likeliest candidates give one.
+            take = min(k + SPARE, len(part))
+            chosen = np.argpartition(low, take - 1, axis=1)[:, :take]
+            best = _merge(q, ref, part, chosen, np.ones(chosen.shape, bool), best, k)
+            np.put_along_axis(low, chosen, np.inf, axis=1)
+            limit = np.where(np.isfinite(best[0].max(1)), best[0].max(1), np.finfo(float).max)
+        chosen, real = _below(low, limit + 10.0**-DECIMALS)
+        if chosen.shape[1]:
+            best = _merge(q, ref, part, chosen, real, best, k)
     return best
 
 
@@ -92,9 +135,9 @@ def nearest(queries: np.ndarray, ref: Reference, k: int) -> tuple[np.ndarray, ..
     """(squared distances, keys, labels), each queries x k, sorted by (distance, key).
     Places beyond the number of reference points hold an infinite distance."""
     n = len(queries)
-    out = (np.full((n, k), np.inf), np.zeros((n, k), np.int64), np.zeros((n, k), np.int32))
+    dist, rows = np.full((n, k), np.inf), np.zeros((n, k), np.int64)
     if n == 0 or len(ref.points) == 0:
-        return out
+        return dist, np.zeros((n, k), np.int64), np.zeros((n, k), np.int32)
     sizes = np.diff(ref.starts)
     filled = np.flatnonzero(sizes)
     far = distances(queries, ref.centres[filled])
@@ -103,18 +146,18 @@ def nearest(queries: np.ndarray, ref: Reference, k: int) -> tuple[np.ndarray, ..
         mine = order[at : at + SLICE]
         q, gap = queries[mine], far[mine]
         near = np.argsort(gap.mean(0))
-        enough = int(np.searchsorted(np.cumsum(sizes[filled][near]), max(2 * k, SPAN // 16))) + 1
-        best = tuple(a[mine] for a in out)
+        enough = int(np.searchsorted(np.cumsum(sizes[filled][near]), FIRST * k)) + 1
+        best = (dist[mine], rows[mine])
         best = _scan(q, ref, _rows(ref, filled[near[:enough]]), best, k)
-        reach = np.sqrt(best[0][:, -1] + 10.0**-DECIMALS)
         rest = near[enough:]
         # A cell can matter only if its ball comes nearer than the k-th neighbour so far.
+        reach = np.sqrt(best[0].max(1) + 10.0**-DECIMALS)
         lower = gap[:, rest] - ref.radii[filled[rest]]
         rest = rest[(lower * (1 - 1e-9) - 1e-6 <= reach[:, None]).any(0)]
         best = _scan(q, ref, _rows(ref, filled[rest]), best, k)
-        for whole, part in zip(out, best, strict=True):
-            whole[mine] = part
-    return out
+        last = np.lexsort((ref.keys[best[1]], best[0]), axis=1)
+        dist[mine], rows[mine] = (np.take_along_axis(v, last, axis=1) for v in best)
+    return dist, ref.keys[rows], ref.labels[rows]
 
 
 def _rows(ref: Reference, cells: np.ndarray) -> np.ndarray:

@@ -109,54 +109,45 @@ def weighted_quantiles(
     by = list(by)
     spark = counts.sparkSession
     totals = counts.groupBy(*by).agg(*[F.sum(w).alias(w) for w in weights]).collect()
-    target_type = T.StructType(
-        [T.StructField(b, counts.schema[b].dataType) for b in by]
-        + [
-            T.StructField(
-                "_targets",
-                T.ArrayType(
-                    T.StructType(
-                        [
-                            T.StructField("weight", T.IntegerType()),
-                            T.StructField("prob_index", T.IntegerType()),
-                            T.StructField("upper", T.BooleanType()),
-                            T.StructField("rank", T.LongType()),
-                            T.StructField("frac", T.DoubleType()),
-                        ]
-                    )
-                ),
-            )
-        ]
-    )
     rows = []
     for total in totals:
-        wanted = []
         for w, name in enumerate(weights):
-            if not total[name]:
-                continue
-            for i, p in enumerate(probs):
+            for i, p in enumerate(probs if total[name] else []):
                 place = (total[name] - 1) * p
-                low = math.floor(place)
-                wanted.append((w, i, False, low, place - low))
-                wanted.append((w, i, True, math.ceil(place), place - low))
-        rows.append((*[total[b] for b in by], wanted))
-    targets = F.broadcast(spark.createDataFrame(rows, target_type))
+                low, high = math.floor(place), math.ceil(place)
+                own = (*[total[b] for b in by], w, i)
+                rows += [(*own, False, low, place - low), (*own, True, high, place - low)]
+    ranks = T.StructType(
+        [T.StructField(b, counts.schema[b].dataType) for b in by]
+    ).add("weight", "integer").add("prob_index", "integer").add("upper", "boolean")
+    ranks = ranks.add("rank", "long").add("frac", "double")
+    # groups x weights x probs x 2 rows
+    wanted = F.broadcast(spark.createDataFrame(rows, ranks))
 
     run = running_totals(counts, value, weights, by, rows_per_task=rows_per_task)
-    run = run.join(targets, by) if by else run.crossJoin(targets)  # targets: one row
-    upto = F.array(*[F.col(f"cum_{w}") for w in weights])
-    own = F.array(*[F.col(w) for w in weights])
-    hits = F.filter(
-        "_targets",
-        lambda t: (upto[t["weight"]] > t["rank"])
-        & (upto[t["weight"]] - own[t["weight"]] <= t["rank"]),
+    spans = F.array(
+        *[
+            F.struct(
+                F.lit(w).alias("weight"),
+                F.col(f"cum_{name}").cast("bigint").alias("upto"),
+                F.col(name).cast("bigint").alias("own"),
+            )
+            for w, name in enumerate(weights)
+        ]
+    )
+    hits = (
+        run.select(*by, F.col(value).cast("double").alias("_value"), F.inline(spans))
+        .where("own > 0")
+        .join(wanted, [*by, "weight"])
+        .where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("own") <= F.col("rank")))
     )
-    low = F.min(F.when(~F.col("t.upper"), F.col(value).cast("double")))
-    high = F.min(F.when(F.col("t.upper"), F.col(value).cast("double")))
     return (
-        run.select(*by, value, F.explode(hits).alias("t"))
-        .groupBy(*by, F.col("t.weight").alias("weight"), F.col("t.prob_index").alias("prob_index"))
-        .agg(low.alias("_low"), high.alias("_high"), F.max("t.frac").alias("_frac"))
+        hits.groupBy(*by, "weight", "prob_index")
+        .agg(
+            F.min(F.when(~F.col("upper"), F.col("_value"))).alias("_low"),
+            F.min(F.when(F.col("upper"), F.col("_value"))).alias("_high"),
+            F.max("frac").alias("_frac"),
+        )
         .withColumn("q", F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_frac"))
         .drop("_low", "_high", "_frac")
     )
