@@ -186,8 +186,7 @@ def score_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("percent_rank", F.round("percent_rank", 9))
 
 
-@CATALOG.query(
-    f"""WITH {SCORED},
+_GRID_SQL = f"""{SCORED},
     grid AS (SELECT a, b, 10 - a - b AS c, row_number() OVER (ORDER BY a, b) - 1 AS weight_id
       FROM range(11) x(a), range(11) y(b) WHERE a + b <= 10),
     blends AS (SELECT weight_id, "default" AS y, {SCORES[0]} * (a / 10.0::DOUBLE)
@@ -197,7 +196,11 @@ def score_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM blends GROUP BY weight_id, p),
     ranked AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY weight_id ORDER BY p
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM counts),
-    aucs AS (SELECT weight_id, {_AUC} AS auc FROM ranked GROUP BY weight_id)
+    aucs AS (SELECT weight_id, {_AUC} AS auc FROM ranked GROUP BY weight_id)"""
+
+
+@CATALOG.query(
+    f"""WITH {_GRID_SQL}
     SELECT weight_id::INT AS weight_id, a / 10.0::DOUBLE AS w1, b / 10.0::DOUBLE AS w2,
       c / 10.0::DOUBLE AS w3, round(auc, 9) AS auc FROM aucs JOIN grid USING (weight_id)"""
 )
@@ -210,6 +213,22 @@ def weight_grid_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@CATALOG.query(
+    f"""WITH {_GRID_SQL}
+    SELECT weight_id::INT AS weight_id, a / 10.0::DOUBLE AS w1, b / 10.0::DOUBLE AS w2,
+      c / 10.0::DOUBLE AS w3, round(auc, 9) AS auc FROM aucs JOIN grid USING (weight_id)
+    ORDER BY aucs.auc DESC, weight_id LIMIT 1"""
+)
+def best_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best row of the grid (one row is the result)."""
+    found = metrics.weight_grid_auc(scored(spark, sf_dir), SCORES[:3], "default")
+    return metrics.best_weights(found).select(
+        "weight_id",
+        *[F.col("weights")[i].alias(f"w{i + 1}") for i in range(3)],
+        F.round("auc", 9).alias("auc"),
+    )
+
+
 @CATALOG.query(
     f"""WITH {SCORED}, {split_sql("scored")},
     counts AS (SELECT split, p, sum("default") AS pos, count(*) - sum("default") AS neg

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditfeat.operators.ordering import running_totals
-from creditfeat.staging import lookup, settle
+from creditfeat.staging import lookup, settle, stage
 
 SMOOTHING = 10.0
 
@@ -146,7 +146,7 @@ class TargetEncoder:
 def label_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, category, code): codes 0 … n-1 in text order for every column."""
     values = df.select(F.inline(_category_pairs(columns))).where(F.col("category").isNotNull())
-    values = values.distinct().withColumn("one", F.lit(1))
+    values = stage(values.distinct().withColumn("one", F.lit(1)), "categories")
     ranked = running_totals(values, "category", ["one"], ["column"])
     return ranked.select("column", "category", (F.col("cum_one") - 1).cast("int").alias("code"))
 

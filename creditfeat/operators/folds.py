@@ -25,25 +25,29 @@ def class_positions(df: DataFrame, key: str, label: str, seed: int = SEED) -> Da
     hashed = df.withColumn("_hash", shuffle_hash(key, seed)).withColumn(
         "_prefix", F.substring("_hash", 1, _SHUFFLE_DIGITS)
     )
-    of_class = Window.partitionBy(label)
-    earlier = of_class.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    of_class = Window.partitionBy("_of_label")
+    earlier = of_class.orderBy("_of_prefix").rowsBetween(Window.unboundedPreceding, -1)
     # 65,536 rows per class at most, whatever the size of the data.
     shifts = (
-        hashed.groupBy(label, "_prefix")
+        hashed.groupBy(F.col(label).alias("_of_label"), F.col("_prefix").alias("_of_prefix"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(
-            label,
-            "_prefix",
+            "_of_label",
+            "_of_prefix",
             F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
             F.sum("_n").over(of_class).alias("_class_rows"),
         )
     )
     inside = Window.partitionBy(label, "_prefix").orderBy("_hash", key)
+    # Null-safe, so that rows without a label keep their place too.
+    here = F.col(label).eqNullSafe(F.col("_of_label")) & F.col("_prefix").eqNullSafe(
+        F.col("_of_prefix")
+    )
     return (
         hashed.withColumn("_rn", F.row_number().over(inside))
-        .join(F.broadcast(shifts), [label, "_prefix"])
+        .join(F.broadcast(shifts), here)
         .withColumn("_pos", F.col("_rn") + F.col("_before"))
-        .drop("_hash", "_prefix", "_rn", "_before")
+        .drop("_hash", "_prefix", "_of_label", "_of_prefix", "_rn", "_before")
     )
 
 

@@ -60,6 +60,11 @@ def test_folds_equal_the_plain_window_and_are_even(spark):
     assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
 
 
+def test_rows_without_label_or_key_are_kept(spark):
+    df = spark.createDataFrame([(1, 0), (2, None), (None, 1), (4, 0)], "id long, y int")
+    assert folds.with_folds(df, "id", "y").count() == 4
+
+
 def test_split_share_by_class(spark):
     df = spark.range(1000).select("id", (F.col("id") < 100).cast("int").alias("y"))
     got = folds.with_split(df, "id", "y").where("split = 'test'").groupBy("y").count().collect()
