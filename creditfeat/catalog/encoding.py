@@ -15,8 +15,8 @@ from creditfeat.catalog.fixtures import (
     split_and_fold,
     split_sql,
 )
-from creditfeat.operators import encoders, profile, quality
-from creditfeat.operators.folds import with_folds, with_split
+from creditfeat.operators import encoders, quality
+from creditfeat.operators.folds import with_split
 from creditfeat.operators.woe import WoeEncoder
 from creditfeat.staging import stage
 

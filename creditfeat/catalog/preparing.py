@@ -13,7 +13,6 @@ from creditfeat.catalog.fixtures import (
     LOAN_TEXTS,
     applicants,
     applicants_sql,
-    labelled,
     pick,
     raw_sources,
     split_sql,

@@ -42,10 +42,13 @@ def fitted(spark, train, fold, **kw):
 
 
 @pytest.mark.parametrize("lattice", [False, True])
-@pytest.mark.parametrize("blocks", [False, True])
-def test_out_of_fold_rates_match_brute_force(spark, lattice, blocks):
+@pytest.mark.parametrize("blocks", [False, "one part", "many parts"])
+def test_out_of_fold_rates_match_brute_force(spark, lattice, blocks, monkeypatch):
     train = rows(240, 4, 1, lattice)
     size = {"broadcast_bytes": 0, "block_rows": 16} if blocks else {}
+    if blocks == "many parts":
+        monkeypatch.setattr(knn, "TASK_BYTES", 1500)  # two blocks
+        monkeypatch.setattr(knn, "CHUNKS_PER_COPY", 2)
     df, model = fitted(spark, train, "fold", **size)
     got = model.transform(df, F.col("x"), "key", "oof").collect()
     want = brute(train, train, lambda q: q[2], KS)

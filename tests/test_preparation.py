@@ -50,7 +50,8 @@ def test_nan_becomes_null_and_fill(spark):
 
 
 def test_division_by_zero_is_null_and_flags_of_null_are_zero(spark):
-    df = spark.createDataFrame([(5.0, -1.0, None)], "monthly_income double, monthly_payment double, application_hour int")
+    schema = "monthly_income double, monthly_payment double, application_hour int"
+    df = spark.createDataFrame([(5.0, -1.0, None)], schema)
     made, skipped = features.add_features(df, features.ratio_features())
     row = made.first()
     assert row["income_to_payment_capacity"] is None
