@@ -24,24 +24,21 @@ MAX_PIECES = 4096
 _STRIDE = 64
 
 
-def _split_points(counts: DataFrame, value: str, by: list[str], pieces: int) -> DataFrame:
-    """Per group, an ordered sample of ``pieces - 1`` values: those with the smallest hash."""
-    draw = Window.partitionBy(*by).orderBy(F.xxhash64(value), F.col(value))
-    sample = (
-        counts.select(*by, value)
-        .withColumn("_draw", F.row_number().over(draw))
-        .where(F.col("_draw") < pieces)
-    )
-    points = sample.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_points"))
+def _split_points(counts: DataFrame, value: str, by: list[str], stride: int) -> DataFrame:
+    """Per group, an ordered sample of about one in ``stride`` values, drawn by hash. It is
+    a function of the values alone, so every reading of the table is cut alike."""
+    drawn = counts.where(F.pmod(F.xxhash64(value), F.lit(stride)) == 0)
+    points = drawn.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_points"))
     points = points.withColumn(
         "_coarse", F.filter("_points", lambda _, i: i % _STRIDE == _STRIDE - 1)
     )
-    # At most MAX_PIECES values for each of the few groups.
+    # About MAX_PIECES values at most for each of the few groups.
     return counts.sparkSession.createDataFrame(points.collect(), points.schema)
 
 
 def _piece(value: Column) -> Column:
-    """Number of split points below ``value``: a coarse search, then one stride."""
+    """Number of split points below ``value``: a coarse search, then one stride. Null
+    without split points."""
     skip = F.size(F.filter("_coarse", lambda p: p < value)) * _STRIDE
     near = F.slice("_points", skip + 1, _STRIDE)
     return skip + F.size(F.filter(near, lambda p: p < value))
@@ -68,11 +65,13 @@ def running_totals(
         upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return counts.withColumns({f"cum_{m}": F.sum(m).over(upto) for m in measures})
 
-    pieces = min(MAX_PIECES, 2 * math.ceil(largest / rows_per_task))
-    points = F.broadcast(_split_points(counts, value, by, pieces))
-    cut = counts.join(points, by) if by else counts.crossJoin(points)  # points: one row
-    cut = cut.withColumn("_piece", _piece(F.col(value))).drop("_points", "_coarse")
-    # At most MAX_PIECES rows for each of the few groups.
+    stride = max(1, rows_per_task // 2, math.ceil(largest / MAX_PIECES))
+    points = F.broadcast(_split_points(counts, value, by, stride))
+    # Without groups, the points are one row; a small group may have none.
+    cut = counts.join(points, by, "left") if by else counts.crossJoin(points)
+    cut = cut.withColumn("_piece", F.coalesce(_piece(F.col(value)), F.lit(0)))
+    cut = cut.drop("_points", "_coarse")
+    # About MAX_PIECES rows at most for each of the few groups.
     piece_order = F.col("_piece").desc() if descending else F.col("_piece").asc()
     before = Window.partitionBy(*by).orderBy(piece_order).rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
