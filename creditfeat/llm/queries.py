@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditfeat.catalog import Catalog
-from creditfeat.llm import quality_rules, secrets
+from creditfeat.llm import attention, mixing, quality_rules, secrets
 from creditfeat.llm.common import table
 
 CATALOG = Catalog()
 
 
+@CATALOG.query()
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.label_domains(table(spark, sf_dir, "labels"))
+    return mixing.mix(table(spark, sf_dir, "documents"), labels)
+
+
 @CATALOG.query()
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
@@ -39,3 +45,18 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         .cast("bigint")
         .alias("n_confirmed"),
     )
+
+
+@CATALOG.query()
+def op9_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = attention.quality_scores(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+    return scored.select(
+        "doc_id",
+        "held_out",
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+        "n_passages",
+        "attention",
+    )
