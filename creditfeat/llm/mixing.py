@@ -40,8 +40,8 @@ class Mix:
 
     max_docs: int = 6000
     anchor: str | None = "good"
-    gap: float = 1e-6
-    steps: int = 60
+    gap: float = 1e-5
+    steps: int = 80
     max_rate: float = 4.0
     epochs: int = 200
     rate: float = 0.05
@@ -134,15 +134,18 @@ def posteriors(docs: DataFrame, model: np.ndarray, how: Mix) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, posteriors array<double>")
 
 
-def rates_of(p: np.ndarray, gaps: list[list[float]], step: float, most: float) -> tuple[np.ndarray, np.ndarray]:
-    """The rates after accelerated projected steps along ``gaps``, from 1, and the rates at which
-    the next gap is to be taken."""
+Step = tuple[list[float], bool]
+
+
+def rates_of(p: np.ndarray, path: list[Step], step: float, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rates after accelerated projected steps along ``path`` (a gap, and whether momentum
+    starts anew), from 1, and the rates at which the next gap is to be taken."""
     rate = ahead = np.ones(len(p))
     pull = 1.0
-    for gap in gaps:
+    for gap, anew in path:
         new = np.clip(ahead - step * (p @ np.asarray(gap)), 0.0, most)
-        further = (1 + np.sqrt(1 + 4 * pull * pull)) / 2
-        ahead = new + (pull - 1) / further * (new - rate)
+        further = 1.0 if anew else (1 + np.sqrt(1 + 4 * pull * pull)) / 2
+        ahead = new if anew else new + (pull - 1) / further * (new - rate)
         rate, pull = new, further
     return rate, ahead
 
@@ -152,8 +155,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def fit_rates(members: DataFrame, targets: list[float], how: Mix, anchor: int | None) -> tuple[list, float]:
-    """The gaps and the step that ``rates_of`` needs. ``members``: n_tokens, posteriors."""
+def fit_rates(members: DataFrame, targets: list[float], how: Mix, anchor: int | None) -> tuple[list[Step], float]:
+    """The path and the step size that ``rates_of`` needs. ``members``: n_tokens, posteriors."""
     width = len(targets)
     p = [F.col("posteriors")[i] for i in range(width)]
     sums = [F.sum(F.col("n_tokens") * x) for x in p]
@@ -168,16 +171,17 @@ def fit_rates(members: DataFrame, targets: list[float], how: Mix, anchor: int |
     if anchor is not None and want[anchor] > 0:
         want = want * have[anchor] / want[anchor]
     step = 1.0 / max(float(np.linalg.eigvalsh(gram).max()), 1e-12)
-    gaps: list[list[float]] = []
-    reached, best = have, np.inf
-    still = 0
-    while len(gaps) < how.steps:
+    path: list[Step] = []
+    reached, last = have, np.inf
+    while len(path) < how.steps:
         gap = reached - want
-        if np.abs(gap).max() <= how.gap or still >= 8:
+        now = float(np.square(gap).sum())
+        if np.abs(gap).max() <= how.gap:
             break
-        gaps.append(gap.tolist())
+        path.append((gap.tolist(), now > last))
+        last = now
 
-        def run(batches: Iterator[pa.RecordBatch], done=tuple(gaps)) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], done=tuple(path)) -> Iterator[pa.RecordBatch]:
             at = np.zeros(width)
             for batch in batches:
                 q = _matrix(batch.column(1))
@@ -189,10 +193,7 @@ def fit_rates(members: DataFrame, targets: list[float], how: Mix, anchor: int |
         kind = ", ".join(f"s{i} double" for i in range(width))
         parts = members.select("n_tokens", "posteriors").mapInArrow(run, kind)
         reached = np.array(parts.agg(*[F.sum(c) for c in parts.columns]).first(), float) / total
-        now = float(np.square(reached - want).sum())
-        still = still + 1 if now > best * (1 - 1e-3) else 0
-        best = min(best, now)
-    return gaps, step
+    return path, step
 
 
 def mix(
@@ -210,12 +211,12 @@ def mix(
     model = fit_posteriors(docs, labelled, domains, how)
     members = stage(posteriors(docs, model, how), "posteriors")
     anchor = domains.index(how.anchor) if how.anchor is not None else None
-    gaps, step = fit_rates(members, [targets[d] for d in domains], how, anchor)
+    path, step = fit_rates(members, [targets[d] for d in domains], how, anchor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                rate, _ = rates_of(_matrix(batch.column(2)), gaps, step, how.max_rate)
+                rate, _ = rates_of(_matrix(batch.column(2)), path, step, how.max_rate)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(rate)], [*batch.schema.names, "rate"]
                 )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditfeat.catalog import Catalog
-from creditfeat.llm import attention, mixing, quality_rules, secrets
+from creditfeat.llm import attention, mixing, quality_rules, secrets, sharding
 from creditfeat.llm.common import table
 
 CATALOG = Catalog()
@@ -18,6 +18,21 @@ def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), labels)
 
 
+@CATALOG.query()
+def op4_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_assignment(table(spark, sf_dir, "documents"), 16)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "curve_index",
+    )
+
+
 @CATALOG.query()
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
