@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditfeat.catalog import Catalog
-from creditfeat.llm import attention, mixing, quality_rules, secrets, sharding
+from creditfeat.llm import attention, mixing, onebit, quality_rules, secrets, sharding, warc
 from creditfeat.llm.common import table
+from creditfeat.staging import fresh_path
 
 CATALOG = Catalog()
 
@@ -33,6 +34,36 @@ def op4_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_OP5 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS payload_digest,
+         strlen(coalesce(html, ''))::BIGINT AS payload_bytes
+  FROM pages
+), m AS (
+  SELECT page_id, payload_bytes, payload_digest,
+         CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS last
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last <> page_id THEN last END AS refers_to
+FROM m
+"""
+
+
+@CATALOG.query(_OP5)
+def op5_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.plan_records(table(spark, sf_dir, "pages"))
+    archives = warc.write_archives(records, fresh_path(spark, "warc"))
+    return warc.read_archives(archives, payloads=False).select(
+        warc.page_of("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_of("refers_to").alias("refers_to"),
+    )
+
+
 @CATALOG.query()
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
@@ -75,3 +106,8 @@ def op9_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_passages",
         "attention",
     )
+
+
+@CATALOG.query()
+def op10_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onebit.search(table(spark, sf_dir, "embeddings"), every=100, k=10)
