@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditfeat.catalog import Catalog
-from creditfeat.llm import attention, mixing, onebit, quality_rules, secrets, sharding, warc
+from creditfeat.llm import attention, mixing, near_dedup, onebit, quality_rules, secrets, sharding, warc
 from creditfeat.llm.common import table
 from creditfeat.staging import fresh_path
 
@@ -19,6 +19,11 @@ def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), labels)
 
 
+@CATALOG.query()
+def op2_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @CATALOG.query()
 def op4_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_assignment(table(spark, sf_dir, "documents"), 16)
