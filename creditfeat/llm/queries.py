@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditfeat.catalog import Catalog
-from creditfeat.llm import attention, mixing, near_dedup, onebit, quality_rules, secrets, sharding, warc
+from creditfeat.llm import attention, class_lm, mixing, near_dedup, onebit, quality_rules, secrets, sharding, warc
 from creditfeat.llm.common import table
 from creditfeat.staging import fresh_path
 
@@ -69,6 +69,11 @@ def op5_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@CATALOG.query()
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.class_scores(table(spark, sf_dir, "documents"))
+
+
 @CATALOG.query()
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
