@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from creditfeat.llm.common import fold_of, pick, ship_package
 from creditfeat.llm.passages import Encoding, PassageEncoder
@@ -208,6 +209,24 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], how: Fit = Fit()) -> Da
     return pick(docs, doc_id="bigint", text="string").mapInArrow(run, kind)
 
 
+def score_rows(docs: DataFrame, model: dict[str, np.ndarray], how: Fit = Fit()) -> DataFrame:
+    """``docs`` with all its columns and ``quality_score``; see ``score``."""
+    ship_package(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = PassageEncoder(how.encoding)
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            scores = [_forward(model, x, n)["y"] for x, n, _ in encoder.chunks(texts)]
+            if scores:
+                found = pa.array(np.concatenate(scores).astype(np.float64))
+                yield batch.append_column("quality_score", found)
+
+    kind = StructType([*docs.schema.fields, StructField("quality_score", DoubleType())])
+    return docs.mapInArrow(run, kind)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), folds: int = 5) -> DataFrame:
     """``score`` of all documents by a model that has learned from labels outside fold 0 only,
     with ``held_out`` for fold 0."""

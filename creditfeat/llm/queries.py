@@ -6,7 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditfeat.catalog import Catalog
-from creditfeat.llm import attention, class_lm, mixing, near_dedup, onebit, quality_rules, secrets, sharding, warc
+from creditfeat.llm import (
+    attention,
+    class_lm,
+    mixing,
+    near_dedup,
+    onebit,
+    piece_sampling,
+    quality_rules,
+    secrets,
+    sharding,
+    warc,
+)
 from creditfeat.llm.common import table
 from creditfeat.staging import fresh_path
 
@@ -24,6 +35,28 @@ def op2_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@CATALOG.query()
+def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = piece_sampling.load_vocabulary()
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("text_crc32", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    ids = piece_sampling.encode(docs, vocabulary, keep=["text_crc32"])
+    ids = ids.select(
+        "doc_id",
+        "text_crc32",
+        F.size("ids").cast("bigint").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        "ids",
+    )
+    return piece_sampling.decode(ids, vocabulary).select(
+        "doc_id",
+        "n_pieces",
+        "ids_hash",
+        F.crc32(F.encode("text", "UTF-8")).alias("decoded_crc32"),
+        (F.crc32(F.encode("text", "UTF-8")) == F.col("text_crc32")).alias("lossless"),
+    )
+
+
 @CATALOG.query()
 def op4_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_assignment(table(spark, sf_dir, "documents"), 16)
