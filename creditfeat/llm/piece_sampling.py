@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from creditfeat.llm.common import ship_package
 
@@ -325,7 +326,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, how: Sampling = Sampling(),
                 columns = [part.column(0), *[part.column(i + 2) for i in range(len(kept))], ids]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *kept, "ids"])
 
-    kind = rows.drop("text").schema.add("ids", "array<int>")
+    kind = rows.drop("text").schema.add("ids", ArrayType(IntegerType()))
     return rows.mapInArrow(run, kind)
 
 
