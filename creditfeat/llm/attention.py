@@ -28,12 +28,13 @@ from creditfeat.llm.passages import Encoding, PassageEncoder
 
 @dataclass(frozen=True)
 class Fit:
-    """``max_docs``: labelled documents that the model is fitted on, at most."""
+    """``max_docs``: labelled documents that the model is fitted on, at most. ``steps``: batches of
+    ``batch_docs`` documents that the fit takes, whatever their number."""
 
     max_docs: int = 6000
     hidden: int = 32
     gates: int = 16
-    epochs: int = 24
+    steps: int = 1200
     batch_docs: int = 128
     rate: float = 0.004
     decay: float = 1e-4
@@ -110,15 +111,15 @@ def fit_bags(x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, how: Fit) ->
     first = np.concatenate([[0], np.cumsum(sizes)])
     mean = {k: np.zeros_like(v) for k, v in m.items()}
     spread = {k: np.zeros_like(v) for k, v in m.items()}
-    step, steps = 0, how.epochs * -(-len(sizes) // how.batch_docs)
-    for _ in range(how.epochs):
+    step = 0
+    while step < how.steps:
         order = rng.permutation(len(sizes))
         for at in range(0, len(order), how.batch_docs):
             docs = order[at : at + how.batch_docs]
             rows = np.concatenate([np.arange(first[i], first[i + 1]) for i in docs])
             grads = _gradients(m, x[rows], sizes[docs], labels[docs])
             step += 1
-            rate = how.rate * (1 - step / (steps + 1))
+            rate = how.rate * max(0.0, 1 - step / (how.steps + 1))
             for k, grad in grads.items():
                 grad = grad + how.decay * m[k]
                 mean[k] = 0.9 * mean[k] + 0.1 * grad
