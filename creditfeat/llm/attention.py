@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from creditfeat.llm.common import fold_of, pick, ship_package
-from creditfeat.llm.passages import Encoding, PassageEncoder
+from creditfeat.llm.passages import Encoding, PassageEncoder, worker_encoder
 
 
 @dataclass(frozen=True)
@@ -187,7 +187,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], how: Fit = Fit()) -> Da
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PassageEncoder(how.encoding)
+        encoder = worker_encoder(how.encoding)
         for batch in batches:
             scores, sizes, weights = [], [], []
             for x, n, _ in encoder.chunks(batch.column(1).to_pylist()):
@@ -216,7 +216,7 @@ def score_rows(docs: DataFrame, model: dict[str, np.ndarray], how: Fit = Fit())
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PassageEncoder(how.encoding)
+        encoder = worker_encoder(how.encoding)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             scores = [_forward(model, x, n)["y"] for x, n, _ in encoder.chunks(texts)]

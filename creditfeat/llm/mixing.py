@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,12 +25,16 @@ from pyspark.sql import functions as F
 
 from creditfeat.llm.attention import labelled_sample
 from creditfeat.llm.common import pick, ship_package, stage
-from creditfeat.llm.passages import Encoding, PassageEncoder
+from creditfeat.llm.passages import Encoding, PassageEncoder, worker_encoder
 
 #: Domains of the labels table with their shares of tokens.
 TARGETS = {"good": 0.85, "poor": 0.10, "toxic": 0.05}
 
 
+#: The whole document is one passage.
+WHOLE = Encoding(bins=1024, passage_words=1 << 40)
+
+
 @dataclass(frozen=True)
 class Mix:
     """``max_docs``: labelled documents that the classifier is fitted on, at most. ``anchor``: the
@@ -45,7 +49,7 @@ class Mix:
     max_rate: float = 4.0
     epochs: int = 200
     rate: float = 0.05
-    encoding: Encoding = field(default_factory=lambda: Encoding(bins=1024))
+    encoding: Encoding = WHOLE
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -60,11 +64,9 @@ def label_domains(labels: DataFrame) -> DataFrame:
     )
 
 
-def _pooled(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Of the passages of each document their mean and, for traits of few passages, the maximum."""
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    mean = np.add.reduceat(x, starts, axis=0) / sizes[:, None]
-    return np.hstack([mean, np.maximum.reduceat(x, starts, axis=0)])
+def _traits(x: np.ndarray) -> np.ndarray:
+    """Shares, and which of them aren't zero: a rare word of a long document has hardly a share."""
+    return np.hstack([x, x > 0])
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -99,7 +101,7 @@ def fit_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], how
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "text"], na_position="first", kind="stable")
         chunks = PassageEncoder(how.encoding).chunks(pdf["text"].tolist())
-        x = np.concatenate([_pooled(f, n) for f, n, _ in chunks])
+        x = np.concatenate([_traits(f) for f, _, _ in chunks])
         np.save(out := io.BytesIO(), _fit(x, pdf["label"].to_numpy(np.int64), len(domains), how))
         return pd.DataFrame({"model": [out.getvalue()]})
 
@@ -115,11 +117,11 @@ def posteriors(docs: DataFrame, model: np.ndarray, how: Mix) -> DataFrame:
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PassageEncoder(how.encoding)
+        encoder = worker_encoder(how.encoding)
         for batch in batches:
             shares, sizes = [], []
-            for x, n, words in encoder.chunks(batch.column(1).to_pylist()):
-                shares.append(_softmax(_pooled(x, n) @ model[:-1] + model[-1]))
+            for x, _, words in encoder.chunks(batch.column(1).to_pylist()):
+                shares.append(_softmax(_traits(x) @ model[:-1] + model[-1]))
                 sizes.append(words)
             if shares:
                 yield pa.RecordBatch.from_arrays(

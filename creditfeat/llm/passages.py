@@ -7,6 +7,7 @@ other letters, repetition. Nothing about them is learned, so every worker comput
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,26 +33,38 @@ class Encoding:
 
 
 class _Words(dict):
-    """Word to its row in ``rows``; fills itself."""
+    """Word to its number; fills itself and keeps the traits of new words until ``table`` is read."""
 
     def __init__(self, bins: int) -> None:
         super().__init__()
-        self.bins, self.rows = bins, []
+        self.bins, self._new = bins, []
+        self._table = np.zeros((4096, 7), np.float32)
 
     def __missing__(self, word: str) -> int:
         n = len(word)
-        upper = sum(c.isupper() for c in word)
-        digit = sum(c.isdigit() for c in word)
-        symbol = sum(c in _SYMBOLS for c in word)
-        letter = sum(c.isalpha() for c in word)
         other = 0 if word.isascii() else sum(c > "\x7f" for c in word)
         key = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % self.bins
-        self.rows.append(
-            (key, n / 10, upper / n, digit / n, symbol / n, (n - letter - digit - symbol) / n, other / n)
-        )
-        self[word] = at = len(self.rows) - 1
+        if word.isalpha() and word.islower():
+            self._new.append((key, n / 10, 0.0, 0.0, 0.0, 0.0, other / n))
+        else:
+            upper = sum(map(str.isupper, word))
+            digit = sum(map(str.isdigit, word))
+            symbol = sum(map(_SYMBOLS.__contains__, word))
+            rest = n - sum(map(str.isalpha, word)) - digit - symbol
+            self._new.append((key, n / 10, upper / n, digit / n, symbol / n, rest / n, other / n))
+        self[word] = at = len(self)
         return at
 
+    def table(self) -> np.ndarray:
+        """A row of traits for each word."""
+        first = len(self) - len(self._new)
+        if self._new:
+            if len(self) > len(self._table):
+                self._table = np.resize(self._table, (2 * len(self), 7))
+            self._table[first : len(self)] = self._new
+            self._new = []
+        return self._table
+
 
 class PassageEncoder:
     """Encodes texts in chunks; one object for each worker, as it keeps a cache of words."""
@@ -65,7 +78,7 @@ class PassageEncoder:
         ids: list[np.ndarray] = []
         held = 0
         for text in texts:
-            if len(self.words.rows) > CACHE_WORDS and not ids:
+            if len(self.words) > CACHE_WORDS and not ids:
                 self.words = _Words(self.encoding.bins)
             words = (text or "").split()
             ids.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
@@ -89,7 +102,7 @@ class PassageEncoder:
         starts = np.concatenate([[0], np.cumsum(n_words)[:-1]])
         at = np.arange(len(words)) - np.repeat(starts, n_words)
         passage = np.repeat(first, n_words) + at // size
-        known = np.array(self.words.rows, np.float32)
+        known = self.words.table()
         counts = np.bincount(passage, minlength=total).astype(np.float32)
         safe = np.maximum(counts, 1)
         keys = known[:, 0].astype(np.int64)[words]
@@ -107,3 +120,9 @@ class PassageEncoder:
         out[:, bins + 7] = np.bincount(passage, weights=same, minlength=total) / safe
         out[:, bins + 8] = counts / size
         return out, n_passages, n_words
+
+
+@functools.lru_cache(maxsize=2)
+def worker_encoder(encoding: Encoding) -> PassageEncoder:
+    """A worker's encoder, so that later tasks find the words of earlier ones."""
+    return PassageEncoder(encoding)

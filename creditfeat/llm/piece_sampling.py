@@ -13,6 +13,7 @@ characters that are no piece become byte pieces, so decoding gives the very text
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -299,6 +300,12 @@ class Sampler:
         return out, np.bincount(row, weights=width, minlength=len(of_row)).astype(np.int64)
 
 
+@functools.lru_cache(maxsize=1)
+def _sampler(vocabulary: Vocabulary, how: Sampling) -> Sampler:
+    """A worker's sampler, so that later tasks find the lattices of earlier ones."""
+    return Sampler(vocabulary, how)
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, how: Sampling = Sampling(), keep: list[str] | None = None) -> DataFrame:
     """doc_id, ``keep`` and ``ids`` (array of piece ids) for every row of ``docs`` (doc_id, text).
 
@@ -315,7 +322,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, how: Sampling = Sampling(),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(vocabulary, how)
+        sampler = _sampler(vocabulary, how)
         for batch in batches:
             done = 0
             for pieces, sizes in sampler.chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -343,10 +350,17 @@ def decode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             content[i] = bytes([byte])
         take = content.__getitem__
         for batch in batches:
-            texts = [
-                None if not ids.is_valid else b"".join(map(take, ids.values.to_pylist())).decode()[1:]
-                for ids in batch.column(at)
-            ]
+            column = batch.column(at)
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            sizes = column.value_lengths().fill_null(-1).to_pylist()
+            texts, done = [], 0
+            for size in sizes:
+                if size < 0:
+                    texts.append(None)
+                    continue
+                ids = flat[done : done + size].tolist()
+                texts.append(b"".join(map(take, ids)).decode()[1:])
+                done += size
             yield batch.set_column(at, "text", pa.array(texts, pa.string()))
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" if f.name != "ids" else "text string" for f in rows.schema]
