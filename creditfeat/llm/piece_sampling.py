@@ -28,8 +28,9 @@ from creditfeat.llm.common import ship_package
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
-CACHE_UNITS = 300_000
-CHUNK_UNITS = 300_000
+CACHE_UNITS = 120_000
+SEEN_UNITS = 400_000
+CHUNK_UNITS = 200_000
 _LONG_UNIT = 48
 # A word with the blanks before it; blanks, line ends and the mark itself where they stand alone.
 _UNITS = re.compile(f" *[^ \n{SPACE_MARK}]+| +|\n|{SPACE_MARK}")
@@ -93,29 +94,62 @@ class Lattices(dict):
         self.longest = max((len(t) for t in self.weights), default=1)
         self.byte_ids = vocabulary.byte_ids
         self.fallback = (vocabulary.size + how.offset) ** -how.power
+        self.seen: set[str] = set()
         self.tables = []
+        self.filter = np.zeros(1 << 20, bool)  # of the upper bits of all pieces' hashes
         for n in range(1, self.longest + 1):
             texts = [t for t in self.weights if len(t) == n]
             codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(len(texts), n)
             h = np.zeros(len(texts), np.uint64)
             for k in range(n):
                 h = h * self._BASE + codes[:, k]
+            self.filter[(h >> np.uint64(44)).astype(np.int64)] = True
             order = np.argsort(h)
             ids = np.array([self.weights[t][0] for t in texts], np.int32)
             weights = np.array([self.weights[t][1] for t in texts]) * self._PER_CHARACTER**n
             self.tables.append((h[order], ids[order], weights[order]))
 
-    def load(self, units: list[str]) -> None:
-        """Build what is missing, all units of up to ``_LONG_UNIT`` characters at once."""
-        missing = [u for u in units if u not in self]
-        short = [u for u in missing if len(u) <= _LONG_UNIT]
-        for u in missing:
-            if len(u) > _LONG_UNIT:
-                self[u] = self.build(u)
+    def load(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lengths, edges of each node, edges and shares of ``units``, and where each of them is
+        among these. Units that come a second time are kept; most come once."""
+        if len(self) > CACHE_UNITS:
+            self.clear()
+        if len(self.seen) > SEEN_UNITS:
+            self.seen.clear()
+        packed, first, short, later = [], [], [], []
+        for k, unit in enumerate(units):
+            known = self.get(unit)
+            if known is None and len(unit) > _LONG_UNIT:
+                known = self.build(unit)
+            if known is None:
+                short.append(unit)
+                later.append(k)
+            else:
+                packed.append(known)
+                first.append(k)
+        parts = [
+            (
+                np.array([p[0] for p in packed], np.int64),
+                np.frombuffer(b"".join([p[1] for p in packed]), np.int32),
+                np.frombuffer(b"".join([p[2] for p in packed]), np.int32).reshape(-1, 2),
+                np.frombuffer(b"".join([p[3] for p in packed])),
+            )
+        ]
         for at in range(0, len(short), 50_000):
-            self._build_all(short[at : at + 50_000])
-
-    def _build_all(self, units: list[str]) -> None:
+            some = short[at : at + 50_000]
+            lengths, counts, edges, shares, bounds = self._build_all(some)
+            parts.append((lengths, counts, edges, shares))
+            starts = np.cumsum(lengths) - lengths
+            for k, unit in enumerate(some):
+                if unit in self.seen:
+                    a, b, c, n = bounds[k], bounds[k + 1], int(starts[k]), int(lengths[k])
+                    self[unit] = (n, counts[c : c + n].tobytes(), edges[a:b].tobytes(), shares[a:b].tobytes())
+            self.seen.update(some)
+        where = np.empty(len(units), np.int64)
+        where[np.array(first + later, np.int64)] = np.arange(len(units))
+        return (*(np.concatenate(c) for c in zip(*parts, strict=True)), where)
+
+    def _build_all(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         text = "".join(units).replace(" ", SPACE_MARK)
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
         lengths = np.fromiter(map(len, units), np.int64, len(units))
@@ -131,13 +165,14 @@ class Lattices(dict):
                 stays = at + n <= end[at]
                 at, h = at[stays], h[stays]
             h = h * self._BASE + codes[at + n - 1]
-            hit = np.zeros(len(at), bool)
-            if len(keys):
-                spot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = keys[spot] == h
-                found.append((at[hit], np.full(int(hit.sum()), n), ids[spot[hit]], weights[spot[hit]]))
+            maybe = np.flatnonzero(self.filter[(h >> np.uint64(44)).astype(np.int64)])
+            few = h[maybe]
+            spot = np.minimum(np.searchsorted(keys, few), max(0, len(keys) - 1))
+            hit = keys[spot] == few if len(keys) else np.zeros(len(few), bool)
+            spot, here = spot[hit], at[maybe[hit]]
+            found.append((here, np.full(len(here), n), ids[spot], weights[spot]))
             if n == 1:
-                bare = at[~hit]
+                bare = np.setdiff1d(at, here, assume_unique=True)
                 code = codes[bare].astype(np.int64)
                 code[code == 1 << 32] = ord(SPACE_MARK)
                 byte = np.array(self.byte_ids, np.int64)[np.minimum(code, 127)]
@@ -169,14 +204,9 @@ class Lattices(dict):
             share[e] = value / np.repeat(total, np.diff(np.append(new, len(e))))
         share = np.cumsum(share) - node
         share[first + per_node - 1] = 1.0
-        edges = np.stack([begin - start[node], piece], axis=1).astype(np.int32).tobytes()
-        shares, counts = share.tobytes(), per_node.astype(np.int32).tobytes()
-        of_unit = np.append(first, len(node))
-        for k, unit, a, b, n in zip(
-            range(len(units)), units, of_unit[starts].tolist(), of_unit[ends].tolist(), lengths.tolist(), strict=True
-        ):
-            c = 4 * int(starts[k])
-            self[unit] = (n, counts[c : c + 4 * n], edges[8 * a : 8 * b], shares[8 * a : 8 * b])
+        edges = np.stack([begin - start[node], piece], axis=1).astype(np.int32)
+        bounds = np.append(first, len(node))[np.append(starts, len(codes))]
+        return lengths, per_node.astype(np.int32), edges, share, bounds
 
     def build(self, unit: str) -> tuple[int, bytes, bytes, bytes]:
         """An edge is the node it comes from and its piece; a character that is no piece and has more
@@ -243,16 +273,10 @@ class Sampler:
                 units, sizes, first = [], [], at + 1
 
     def _draw(self, keys: list[int | None], units: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.lattices) > CACHE_UNITS:
-            self.lattices.clear()
         place = _Places()
         which = np.fromiter(map(place.__getitem__, units), np.int64, len(units))
-        self.lattices.load(list(place))
-        packed = [self.lattices[u] for u in place]
-        lengths = np.array([p[0] for p in packed])
-        per_node = np.frombuffer(b"".join([p[1] for p in packed]), np.int32)
-        edges = np.frombuffer(b"".join([p[2] for p in packed]), np.int32).reshape(-1, 2)
-        shares = np.frombuffer(b"".join([p[3] for p in packed]))
+        lengths, per_node, edges, shares, where = self.lattices.load(list(place))
+        which = where[which]
         # Node j of a unit has the number base + j - 1; its edges lie between it and the next.
         bounds = np.repeat(np.arange(len(per_node)), per_node) + shares
         last = np.cumsum(per_node) - 1
