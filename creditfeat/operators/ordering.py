@@ -44,6 +44,13 @@ def _piece(value: Column) -> Column:
     return skip + F.size(F.filter(near, lambda p: p < value))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join on equality for which null equals null: a null group is a group like others."""
+    right = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    return left.join(right, same, how).drop(*[f"_r_{c}" for c in on])
+
+
 def running_totals(
     counts: DataFrame,
     value: str,
@@ -68,7 +75,7 @@ def running_totals(
     stride = max(1, rows_per_task // 2, math.ceil(largest / MAX_PIECES))
     points = F.broadcast(_split_points(counts, value, by, stride))
     # Without groups, the points are one row; a small group may have none.
-    cut = counts.join(points, by, "left") if by else counts.crossJoin(points)
+    cut = _join_null_safe(counts, points, by, "left") if by else counts.crossJoin(points)
     cut = cut.withColumn("_piece", F.coalesce(_piece(F.col(value)), F.lit(0)))
     cut = cut.drop("_points", "_coarse")
     # About MAX_PIECES rows at most for each of the few groups.
@@ -86,7 +93,7 @@ def running_totals(
     upto = (
         Window.partitionBy(*by, "_piece").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     )
-    out = cut.join(F.broadcast(shifts), [*by, "_piece"])
+    out = _join_null_safe(cut, F.broadcast(shifts), [*by, "_piece"], "inner")
     return out.withColumns(
         {f"cum_{m}": F.sum(m).over(upto) + F.col(f"_s_{m}") for m in measures}
     ).drop("_piece", *[f"_s_{m}" for m in measures])

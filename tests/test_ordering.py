@@ -76,3 +76,13 @@ def test_approximate_edges_are_close(spark):
     exact = profile.quantile_edges(df, ["v"]).first()["edges"]
     rough = profile.approx_quantile_edges(df, ["v"]).first()["edges"]
     assert np.allclose(exact, rough, atol=20)
+
+
+def test_null_groups_stay_at_every_size(spark):
+    rows = [(None if i % 3 == 0 else i % 3, float(i), 1) for i in range(300)]
+    counts = spark.createDataFrame(rows, "g int, v double, n int")
+    whole = ordering.running_totals(counts, "v", ["n"], by=["g"]).select("g", "v", "cum_n")
+    cut = ordering.running_totals(counts, "v", ["n"], by=["g"], rows_per_task=20).select("g", "v", "cum_n")
+    key = lambda r: (str(r.g), r.v)
+    assert sorted(whole.collect(), key=key) == sorted(cut.collect(), key=key)
+    assert cut.count() == 300

@@ -95,3 +95,12 @@ def test_annuity(spark):
     df = spark.createDataFrame([(1200.0, 0.0, 12), (1000.0, 12.0, 1)], "a double, r double, n int")
     got = df.select(features.annuity_payment(F.col("a"), F.col("r"), F.col("n")).alias("p"))
     assert [r["p"] for r in got.collect()] == pytest.approx([100.0, 1010.0])
+
+
+def test_keys_that_are_equal_after_the_cast_are_refused(spark):
+    anchor = spark.createDataFrame([(7,)], "k bigint")
+    twice = spark.createDataFrame([("7", 1), ("07", 2)], "id string, v int")
+    with pytest.raises(ValueError, match="not unique"):
+        joins.star_join(anchor, {"s": (twice, "id")}, "k")
+    with pytest.raises(ValueError, match="not unique"):
+        joins.validate(anchor, twice, "k", "id", "1:1")
