@@ -1,4 +1,4 @@
-"""Both physical plans of the neighbour search against brute force."""
+"""The neighbour search against brute force."""
 
 import numpy as np
 import pytest
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from creditfeat.operators import knn
 
 KS = [3, 10]
+SCHEMA = "key long, y int, fold int, x array<double>"
 
 
 def rows(n, dims, seed, lattice=False):
@@ -20,8 +21,8 @@ def rows(n, dims, seed, lattice=False):
     ]
 
 
-def brute(train, queries, fold_of, ks):
-    """Rates in the metric of fold_of(query), excluding that fold."""
+def brute(train, queries, fold_of, ks, drawn=None):
+    """Rates in the metric of fold_of(query), excluding that fold; ``drawn``: keys searched."""
     out = {}
     for q in queries:
         f = fold_of(q)
@@ -31,51 +32,119 @@ def brute(train, queries, fold_of, ks):
         scale[scale == 0] = 1
         d = (((pts - mean) / scale - (np.array(q[3]) - mean) / scale) ** 2).sum(1).round(9)
         order = sorted(range(len(ref)), key=lambda i: (d[i], ref[i][0]))
+        order = [i for i in order if drawn is None or ref[i][0] in drawn]
         out[q[0]] = [np.mean([ref[i][1] for i in order[:k]]) for k in ks]
     return out
 
 
 def fitted(spark, train, fold, **kw):
-    df = spark.createDataFrame(train, "key long, y int, fold int, x array<double>")
-    model = knn.NeighbourRates.fit(df, F.col("x"), "key", "y", KS, fold, cell_rows=20, **kw)
-    return df, model
+    df = spark.createDataFrame(train, SCHEMA)
+    return df, knn.NeighbourRates.fit(df, F.col("x"), "key", "y", KS, fold, **kw)
+
+
+def rates(r):
+    return [r["knn_oof_3"], r["knn_oof_10"]]
+
+
+@pytest.fixture(autouse=True)
+def small_cells(monkeypatch):
+    monkeypatch.setattr(knn, "CELL_ROWS", 20)
+    monkeypatch.setattr(knn, "PLACE_ROWS", 64)
 
 
 @pytest.mark.parametrize("lattice", [False, True])
-@pytest.mark.parametrize("blocks", [False, "one part", "many parts"])
-def test_out_of_fold_rates_match_brute_force(spark, lattice, blocks, monkeypatch):
+@pytest.mark.parametrize("held", [knn.SCALED_BYTES, 0])
+def test_out_of_fold_rates_match_brute_force(spark, lattice, held, monkeypatch):
+    monkeypatch.setattr(knn, "SCALED_BYTES", held)
     train = rows(240, 4, 1, lattice)
-    size = {"broadcast_bytes": 0, "block_rows": 16} if blocks else {}
-    if blocks == "many parts":
-        monkeypatch.setattr(knn, "TASK_BYTES", 1500)  # two blocks
-        monkeypatch.setattr(knn, "CHUNKS_PER_COPY", 2)
-    df, model = fitted(spark, train, "fold", **size)
+    df, model = fitted(spark, train, "fold")
     got = model.transform(df, F.col("x"), "key", "oof").collect()
     want = brute(train, train, lambda q: q[2], KS)
     assert len(got) == len(train)
     for r in got:
-        assert [r["knn_oof_3"], r["knn_oof_10"]] == pytest.approx(want[r["key"]])
+        assert rates(r) == pytest.approx(want[r["key"]])
 
 
-@pytest.mark.parametrize("blocks", [False, True])
-def test_new_rows(spark, blocks):
+def test_new_rows(spark):
     train, fresh = rows(150, 3, 2), [(1000 + r[0], *r[1:]) for r in rows(40, 3, 3)]
-    size = {"broadcast_bytes": 0, "block_rows": 16} if blocks else {}
-    _, model = fitted(spark, train, "fold", **size)
-    new = spark.createDataFrame(fresh, "key long, y int, fold int, x array<double>").drop("fold")
+    _, model = fitted(spark, train, "fold")
+    new = spark.createDataFrame(fresh, SCHEMA).drop("fold")
     full = model.transform(new, F.col("x"), "key", "full_fit").collect()
     want = brute(train, fresh, lambda q: None, KS)
     for r in full:
-        assert [r["knn_oof_3"], r["knn_oof_10"]] == pytest.approx(want[r["key"]])
+        assert rates(r) == pytest.approx(want[r["key"]])
     mean = model.transform(new, F.col("x"), "key", "fold_mean").collect()
     per_fold = [brute(train, fresh, lambda q, f=f: f, KS) for f in range(5)]
     for r in mean:
         assert r["knn_oof_10"] == pytest.approx(np.mean([p[r["key"]][1] for p in per_fold]))
 
 
+def test_neighbour_lists(spark):
+    train = rows(120, 3, 5)
+    df, model = fitted(spark, train, None)
+    got = model.neighbours(df, F.col("x"), "key", "full_fit").collect()
+    assert len(got) == len(train) * KS[-1]
+    pts = np.array([t[3] for t in train])
+    z = (pts - pts.mean(0)) / pts.std(0)
+    for r in got:
+        d = ((z - z[r["key"]]) ** 2).sum(1).round(9)
+        want = sorted(range(len(train)), key=lambda i: (d[i], i))[r["place"] - 1]
+        assert (r["neighbour"], r["label"]) == (want, train[want][1])
+        assert r["distance"] == pytest.approx(np.sqrt(d[want]))
+
+
 def test_fewer_rows_than_neighbours(spark):
     train = rows(6, 2, 4)
     df, model = fitted(spark, train, None)
     got = model.transform(df, F.col("x"), "key", "full_fit").collect()
     share = np.mean([t[1] for t in train])
     assert all(r["knn_oof_10"] == pytest.approx(share) for r in got)
+
+
+def test_bounded_reference(spark):
+    train = rows(300, 3, 6)
+    df, model = fitted(spark, train, "fold", reference_rows=100)
+    drawn = {r["key"] for r in model.reference.collect()}
+    assert 60 < len(drawn) < 140
+    want = brute(train, train, lambda q: q[2], KS, drawn)
+    for r in model.transform(df, F.col("x"), "key", "oof").collect():
+        assert rates(r) == pytest.approx(want[r["key"]])
+
+
+def test_rows_that_are_no_reference(spark):
+    train = rows(100, 3, 7)
+    odd = [
+        (500, None, 1, [0.1, 0.2, 0.3]),
+        (501, 1, None, [0.1, 0.2, 0.3]),
+        (502, 1, 2, None),
+        (None, 1, 3, [0.5, 0.5, 0.5]),
+        (7, 1, 2, None),  # the second row of this key
+    ]
+    df, model = fitted(spark, train + odd, "fold")
+    assert model.rows == len(train)
+    got = model.transform(df, F.col("x"), "key", "oof").collect()
+    assert len(got) == len(train) + len(odd)
+    for r in got:
+        if r["x"] is None or r["fold"] is None:
+            assert rates(r) == [None, None]
+        else:
+            q = (r["key"], r["y"], r["fold"], r["x"])
+            assert rates(r) == pytest.approx(brute(train, [q], lambda q: q[2], KS)[r["key"]])
+
+
+def test_empty_reference(spark):
+    _, model = fitted(spark, [], "fold")
+    df = spark.createDataFrame(rows(5, 2, 8), SCHEMA)
+    for mode in ("oof", "fold_mean", "full_fit"):
+        got = model.transform(df, F.col("x"), "key", mode).collect()
+        assert len(got) == 5 and all(rates(r) == [None, None] for r in got)
+
+
+def test_frequent_vector_leaves_the_centres_apart(spark):
+    train = [(i, i % 2, i % 5, [float(i), float(i % 7)]) for i in range(400)]
+    train += [(1000 + i, 1, i % 5, [3.0, 3.0]) for i in range(400)]
+    _, model = fitted(spark, train, "fold")
+    cells = model._broadcast().value
+    assert len(np.unique(cells.centres, axis=0)) == len(cells.centres) >= 20
+    # Row 3 has that vector too and is one of those kept in its fold.
+    assert len(cells.keys) == 399 + 5 * KS[-1]
