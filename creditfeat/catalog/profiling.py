@@ -249,12 +249,18 @@ def drift_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
     n AS (SELECT sum((monthly_income IS NULL)::INT + (employment_length IS NULL)::INT)::BIGINT AS d
       FROM applicants)
     SELECT 'raw' AS "check", d = 0 AS passed, d AS detail FROM n
-    UNION ALL SELECT 'filled', true, 0::BIGINT"""
+    UNION ALL SELECT 'filled', true, 0::BIGINT
+    UNION ALL SELECT 'planted', count(*) = 0, count(*) FROM applicants WHERE customer_ref % 100 = 0"""
 )
 def check_no_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Before filling, after it, and after it with an income taken away from every 100th key."""
     df = applicants(spark, sf_dir, ["customer_ref", "monthly_income", "employment_length"])
+    filled = cleaning.fill_table(df)
+    planted = filled.withColumn("monthly_income", F.expr("if(customer_ref % 100 = 0, null, monthly_income)"))
     return quality.run_checks(
-        quality.no_nulls(df, "raw"), quality.no_nulls(cleaning.fill_table(df), "filled")
+        quality.no_nulls(df, "raw"),
+        quality.no_nulls(filled, "filled"),
+        quality.no_nulls(planted, "planted"),
     )
 
 
@@ -299,15 +305,24 @@ def check_label_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.query(
     """SELECT 'clean' AS "check", true AS passed, 0::BIGINT AS detail
     UNION ALL SELECT 'dirty', d = 0, d FROM (SELECT count(*) AS d FROM customer
-      WHERE c_custkey % 8 <> 0)"""
+      WHERE c_custkey % 8 <> 0)
+    UNION ALL SELECT 'planted', count(*) = 0, count(*) FROM customer WHERE c_custkey % 40 IN (0, 1)"""
 )
 def check_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Before cleaning, after it, and after it with an unlisted value or null planted by key."""
     dirty = table(spark, sf_dir, "customer").selectExpr(
         f"{pick(EMPLOYMENT_TEXTS, 'c_custkey')} as employment_type"
     )
     clean = dirty.withColumn("employment_type", cleaning.employment_class())
     allowed = schemas.EMPLOYMENT_TYPES
+    planted = table(spark, sf_dir, "customer").selectExpr(
+        f"{pick(EMPLOYMENT_TEXTS, 'c_custkey')} as employment_type", "c_custkey"
+    )
+    planted = planted.withColumn("employment_type", cleaning.employment_class()).selectExpr(
+        "case c_custkey % 40 when 0 then 'Unlisted' when 1 then null else employment_type end as employment_type"
+    )
     return quality.run_checks(
+        quality.allowed_values(planted, "employment_type", allowed, "planted"),
         quality.allowed_values(clean, "employment_type", allowed, "clean"),
         quality.allowed_values(dirty, "employment_type", allowed, "dirty"),
     )
@@ -336,32 +351,55 @@ def check_split_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.split_rates(with_split(df, "customer_ref", "default"), "default")
 
 
+_BASE = ["customer_ref", "monthly_income", "existing_monthly_debt", "loan_amount"]
+
+
 @CATALOG.query(
-    """SELECT 'derived' AS "check", true AS passed, 0::BIGINT AS detail
-    UNION ALL SELECT 'joined', true, 0::BIGINT"""
+    f"""WITH {applicants_sql(_BASE)},
+    stored AS (SELECT a.*, o_totalprice,
+        monthly_income - existing_monthly_debt + CASE WHEN customer_ref % 100 = 0 THEN 1 ELSE 0 END AS wrong
+      FROM applicants a LEFT JOIN orders ON o_orderkey = customer_ref),
+    bad AS (SELECT
+        count(*) FILTER (wrong IS NOT NULL AND customer_ref % 100 = 0) AS derived,
+        count(*) FILTER (loan_amount IS DISTINCT FROM o_totalprice) AS joined,
+        count(*) FILTER (customer_ref % 50 = 0) AS one_sided FROM stored)
+    SELECT 'derived' AS "check", derived = 0 AS passed, derived AS detail FROM bad
+    UNION ALL SELECT 'joined', joined = 0, joined FROM bad
+    UNION ALL SELECT 'one_sided', one_sided = 0, one_sided FROM bad"""
 )
 def check_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored values against recomputed ones, over all rows."""
-    df = applicants(
-        spark, sf_dir, ["customer_ref", "monthly_income", "existing_monthly_debt", "loan_amount"]
-    )
+    """Stored values against recomputed ones, over all rows. Every 100th key has a wrong derived
+    value, and every 50th key has lost its loan amount on the way to the last check."""
+    df = applicants(spark, sf_dir, _BASE)
+    expected = F.expr("monthly_income - existing_monthly_debt")
     derived = df.withColumn(
-        "disposable_income", F.col("monthly_income") - F.col("existing_monthly_debt")
+        "disposable_income", F.expr("monthly_income - existing_monthly_debt + if(customer_ref % 100 = 0, 1, 0)")
     )
     source = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("customer_ref"), "o_totalprice"
     )
+    joined = df.join(source, "customer_ref", "left")
+    one_sided = joined.withColumn("loan_amount", F.expr("if(customer_ref % 50 = 0, null, loan_amount)"))
+    total = F.col("o_totalprice")
+    return quality.run_checks(
+        quality.recomputed(derived, "disposable_income", expected, name="derived"),
+        quality.recomputed(joined, "loan_amount", total, name="joined"),
+        quality.recomputed(one_sided, "loan_amount", total, name="one_sided"),
+    )
+
+
+@CATALOG.query(
+    """SELECT 'l_quantity' AS "check", typeof(min(l_quantity)) IN ('DOUBLE', 'BIGINT', 'INTEGER', 'FLOAT') AS passed,
+      (typeof(min(l_quantity)) NOT IN ('DOUBLE', 'BIGINT', 'INTEGER', 'FLOAT'))::BIGINT AS detail FROM lineitem
+    UNION ALL SELECT 'l_returnflag', typeof(min(l_returnflag)) IN ('DOUBLE', 'BIGINT', 'INTEGER', 'FLOAT'),
+      (typeof(min(l_returnflag)) NOT IN ('DOUBLE', 'BIGINT', 'INTEGER', 'FLOAT'))::BIGINT FROM lineitem
+    UNION ALL SELECT 'values', count(*) = count(l_quantity), count(*) - count(l_quantity) FROM lineitem"""
+)
+def check_numeric_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which columns are numeric, and whether the numeric one has a value in every row."""
+    lines = table(spark, sf_dir, "lineitem")
     return quality.run_checks(
-        quality.recomputed(
-            derived,
-            "disposable_income",
-            F.expr("monthly_income - existing_monthly_debt"),
-            name="derived",
-        ),
-        quality.recomputed(
-            df.join(source, "customer_ref", "left"),
-            "loan_amount",
-            F.col("o_totalprice"),
-            name="joined",
-        ),
+        quality.numeric_type(lines, "l_quantity", "l_quantity"),
+        quality.numeric_type(lines, "l_returnflag", "l_returnflag"),
+        quality.no_nulls(lines.select("l_quantity"), "values"),
     )
