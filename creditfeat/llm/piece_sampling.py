@@ -15,14 +15,14 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from creditfeat.llm.common import ship_package
 
@@ -31,6 +31,8 @@ SPACE_MARK = "▁"
 CACHE_UNITS = 120_000
 SEEN_UNITS = 400_000
 CHUNK_UNITS = 200_000
+BUILD_UNITS = 20_000  # lattices built at once
+LIST_ROWS = 1_000  # rows that are Python objects at once
 _LONG_UNIT = 48
 # A word with the blanks before it; blanks, line ends and the mark itself where they stand alone.
 _UNITS = re.compile(f" *[^ \n{SPACE_MARK}]+| +|\n|{SPACE_MARK}")
@@ -135,8 +137,8 @@ class Lattices(dict):
                 np.frombuffer(b"".join([p[3] for p in packed])),
             )
         ]
-        for at in range(0, len(short), 50_000):
-            some = short[at : at + 50_000]
+        for at in range(0, len(short), BUILD_UNITS):
+            some = short[at : at + BUILD_UNITS]
             lengths, counts, edges, shares, bounds = self._build_all(some)
             parts.append((lengths, counts, edges, shares))
             starts = np.cumsum(lengths) - lengths
@@ -259,18 +261,23 @@ class Sampler:
         self.vocabulary, self.how = vocabulary, how
         self.lattices = Lattices(vocabulary, how)
 
-    def chunks(self, keys: list[int | None], texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def chunks(
+        self, keys: Iterable[int | None], texts: Iterable[str | None]
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(pieces, number of pieces of each text) for runs of texts in order."""
         units: list[str] = []
         sizes: list[int] = []
-        first = 0
-        for at, text in enumerate(texts):
+        own: list[int | None] = []
+        for key, text in zip(keys, texts, strict=True):
             found = _UNITS.findall(" " + (text or ""))
             units += found
             sizes.append(len(found))
-            if len(units) >= CHUNK_UNITS or at == len(texts) - 1:
-                yield self._draw(keys[first : at + 1], units, np.array(sizes))
-                units, sizes, first = [], [], at + 1
+            own.append(key)
+            if len(units) >= CHUNK_UNITS:
+                yield self._draw(own, units, np.array(sizes))
+                units, sizes, own = [], [], []
+        if own:
+            yield self._draw(own, units, np.array(sizes))
 
     def _draw(self, keys: list[int | None], units: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place = _Places()
@@ -330,8 +337,42 @@ def _sampler(vocabulary: Vocabulary, how: Sampling) -> Sampler:
     return Sampler(vocabulary, how)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, how: Sampling = Sampling(), keep: list[str] | None = None) -> DataFrame:
+def _values(column: pa.Array) -> Iterator:
+    for start in range(0, len(column), LIST_ROWS):
+        yield from column.slice(start, LIST_ROWS).to_pylist()
+
+
+class Decoder:
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        content = [b""] * vocabulary.size
+        for text, i, _ in vocabulary.pieces:
+            content[i] = text.replace(SPACE_MARK, " ").encode()
+        for byte, i in enumerate(vocabulary.byte_ids):
+            content[i] = bytes([byte])
+        self.take = content.__getitem__
+
+    def __call__(self, pieces: np.ndarray, sizes: list[int]) -> pa.Array:
+        """Texts from the pieces of all rows; a size below 0 stands for a null."""
+        texts, done = [], 0
+        for size in sizes:
+            if size < 0:
+                texts.append(None)
+                continue
+            ids = pieces[done : done + size].tolist()
+            texts.append(b"".join(map(self.take, ids)).decode()[1:])
+            done += size
+        return pa.array(texts, pa.string())
+
+
+def encode(
+    docs: DataFrame,
+    vocabulary: Vocabulary,
+    how: Sampling = Sampling(),
+    keep: list[str] | None = None,
+    decoded: bool = False,
+) -> DataFrame:
     """doc_id, ``keep`` and ``ids`` (array of piece ids) for every row of ``docs`` (doc_id, text).
+    ``decoded`` adds ``text``, decoded from the ids in the same task, for a check of the round trip.
 
     A blank is put before the text, as the vocabulary expects. Null texts count as empty, which is
     that blank; rows of one id draw alike, so repeated rows get equal ids; a null id draws as 0. An
@@ -344,21 +385,24 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, how: Sampling = Sampling(),
         F.col("text").cast("string").alias("text"),
         *[F.col(f"`{c}`") for c in kept],
     )
+    names = ["doc_id", *kept, "ids", *(["text"] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = _sampler(vocabulary, how)
+        sampler, decoder = _sampler(vocabulary, how), Decoder(vocabulary)
         for batch in batches:
             done = 0
-            for pieces, sizes in sampler.chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for pieces, sizes in sampler.chunks(_values(batch.column(0)), _values(batch.column(1))):
                 part = batch.slice(done, len(sizes))
                 done += len(sizes)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                ids = pa.ListArray.from_arrays(offsets, pa.array(pieces))
-                columns = [part.column(0), *[part.column(i + 2) for i in range(len(kept))], ids]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *kept, "ids"])
+                columns = [part.column(0), *[part.column(i + 2) for i in range(len(kept))]]
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(pieces)))
+                if decoded:
+                    columns.append(decoder(pieces, sizes.tolist()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = rows.drop("text").schema.add("ids", ArrayType(IntegerType()))
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(run, kind.add("text", StringType()) if decoded else kind)
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -367,25 +411,14 @@ def decode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     at = rows.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        content = [b""] * vocabulary.size
-        for text, i, _ in vocabulary.pieces:
-            content[i] = text.replace(SPACE_MARK, " ").encode()
-        for byte, i in enumerate(vocabulary.byte_ids):
-            content[i] = bytes([byte])
-        take = content.__getitem__
+        decoder = Decoder(vocabulary)
         for batch in batches:
-            column = batch.column(at)
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            sizes = column.value_lengths().fill_null(-1).to_pylist()
-            texts, done = [], 0
-            for size in sizes:
-                if size < 0:
-                    texts.append(None)
-                    continue
-                ids = flat[done : done + size].tolist()
-                texts.append(b"".join(map(take, ids)).decode()[1:])
-                done += size
-            yield batch.set_column(at, "text", pa.array(texts, pa.string()))
+            for start in range(0, len(batch), LIST_ROWS):
+                part = batch.slice(start, LIST_ROWS)
+                column = part.column(at)
+                pieces = column.flatten().to_numpy(zero_copy_only=False)
+                texts = decoder(pieces, column.value_lengths().fill_null(-1).to_pylist())
+                yield part.set_column(at, "text", texts)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" if f.name != "ids" else "text string" for f in rows.schema]
     return rows.mapInArrow(run, ", ".join(fields))

@@ -40,18 +40,11 @@ def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = piece_sampling.load_vocabulary()
     docs = table(spark, sf_dir, "documents")
     docs = docs.withColumn("text_crc32", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    ids = piece_sampling.encode(docs, vocabulary, keep=["text_crc32"])
-    ids = ids.select(
+    both = piece_sampling.encode(docs, vocabulary, keep=["text_crc32"], decoded=True)
+    return both.select(
         "doc_id",
-        "text_crc32",
         F.size("ids").cast("bigint").alias("n_pieces"),
         F.xxhash64("ids").alias("ids_hash"),
-        "ids",
-    )
-    return piece_sampling.decode(ids, vocabulary).select(
-        "doc_id",
-        "n_pieces",
-        "ids_hash",
         F.crc32(F.encode("text", "UTF-8")).alias("decoded_crc32"),
         (F.crc32(F.encode("text", "UTF-8")) == F.col("text_crc32")).alias("lossless"),
     )

@@ -294,6 +294,19 @@ def test_pieces_are_lossless_and_reproducible(docs, spark):
     assert piece_sampling.encode(empty(docs), vocabulary).collect() == []
 
 
+def test_texts_decoded_while_encoding(spark, monkeypatch):
+    monkeypatch.setattr(piece_sampling, "LIST_ROWS", 2)
+    monkeypatch.setattr(piece_sampling, "CHUNK_UNITS", 5)
+    texts = ["one two three", None, "", " \n\t x▁y", "é中 𝄞 a" * 40, "one two three"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "no id")], "doc_id long, text string").coalesce(1)
+    vocabulary = piece_sampling.load_vocabulary()
+    both = piece_sampling.encode(docs, vocabulary, decoded=True).collect()
+    assert [(r["doc_id"], r["text"]) for r in both] == [(i, t or "") for i, t in [*enumerate(texts), (None, "no id")]]
+    later = piece_sampling.decode(piece_sampling.encode(docs, vocabulary), vocabulary).collect()
+    assert [r["text"] for r in later] == [r["text"] for r in both]
+
+
+
 def test_pieces_are_drawn_by_their_weights():
     vocabulary = piece_sampling.Vocabulary((("▁", 0, 0.0), ("a", 1, 1.0), ("b", 2, 5.0), ("ab", 3, 9.0), ("▁a", 4, 2.0)), tuple(range(10, 266)), 266)
     how = piece_sampling.Sampling(power=1.0, offset=1.0)
