@@ -28,10 +28,10 @@ from creditfeat.llm.common import ship_package
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
-CACHE_UNITS = 120_000
-SEEN_UNITS = 400_000
-CHUNK_UNITS = 200_000
-BUILD_UNITS = 20_000  # lattices built at once
+CACHE_UNITS = 240_000
+SEEN_UNITS = 800_000
+CHUNK_UNITS = 400_000
+BUILD_UNITS = 30_000  # lattices built at once
 LIST_ROWS = 1_000  # rows that are Python objects at once
 _LONG_UNIT = 48
 # A word with the blanks before it; blanks, line ends and the mark itself where they stand alone.
