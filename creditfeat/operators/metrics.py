@@ -53,8 +53,12 @@ def roc_points(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) ->
 
 def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Tie-correct area under the ROC curve: (by, auc, n_pos, n_neg)."""
-    counts = stage(score_counts(df, score, label, by), "scores")
-    run = running_totals(counts, "score", ["neg"], by)
+    return auc_of_counts(score_counts(df, score, label, by), by)
+
+
+def auc_of_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """As :func:`auc`, from one row per (by, score) with its ``pos`` and ``neg``."""
+    run = running_totals(stage(counts, "scores"), "score", ["neg"], by)
     below = F.col("cum_neg").cast("double") * 2 - F.col("neg")  # twice: lower + half of equal
     return (
         run.groupBy(*by)
@@ -252,15 +256,28 @@ def weight_grid_auc(
     df: DataFrame, scores: Sequence[str], label: str, steps: int = 10
 ) -> DataFrame:
     """AUC of every weighted blend on the grid, in one grouped job:
-    (weight_id, weights, auc)."""
+    (weight_id, weights, auc). Rows are counted per tuple of scores before they are multiplied
+    by the grid; a tuple with a null has no blend."""
     grid = simplex_grid(len(scores), steps)
+    tuples = (
+        df.dropna(subset=list(scores))
+        .groupBy(*scores)
+        .agg(
+            F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
+        )
+    )
     blends = F.array(
         *[
-            F.struct(F.lit(i).alias("weight_id"), blend(scores, w).alias("blend"))
+            F.struct(F.lit(i).alias("weight_id"), blend(scores, w).alias("score"))
             for i, w in enumerate(grid)
         ]
     )
-    result = auc(df.select(label, F.inline(blends)), "blend", label, ["weight_id"])
+    counts = (
+        tuples.select("pos", "neg", F.inline(blends))
+        .groupBy("weight_id", "score")
+        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    )
+    result = auc_of_counts(counts, ["weight_id"])
     weights = F.array(*[F.array(*[F.lit(float(x)) for x in w]) for w in grid])
     return result.select("weight_id", weights[F.col("weight_id")].alias("weights"), "auc")
 
