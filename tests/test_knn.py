@@ -148,3 +148,36 @@ def test_frequent_vector_leaves_the_centres_apart(spark):
     assert len(np.unique(cells.centres, axis=0)) == len(cells.centres) >= 20
     # Row 3 has that vector too and is one of those kept in its fold.
     assert len(cells.keys) == 399 + 5 * KS[-1]
+
+
+def test_join_searches_all_rows_in_blocks(spark):
+    train = rows(300, 3, 9)
+    train[7] = (8, *train[7][1:])  # a repeated key: both rows have a list
+    df = spark.createDataFrame(train, SCHEMA)
+    got = knn.nearest_rows(df, F.col("x"), "key", "y", 10, block_rows=70).collect()
+    assert len(got) == 10 * len(train)
+    pts = np.array([t[3] for t in train])
+    z = (pts - pts.mean(0)) / pts.std(0)
+    want = []
+    for i, t in enumerate(train):
+        d = ((z - z[i]) ** 2).sum(1).round(9)
+        order = sorted(range(len(train)), key=lambda j: (d[j], train[j][0], train[j][1]))[:10]
+        want += [(t[0], p + 1, train[j][0], round(float(np.sqrt(d[j])), 6), train[j][1]) for p, j in enumerate(order)]
+    assert sorted((r[0], r[1], r[2], round(r[3], 6), r[4]) for r in got) == sorted(want)
+
+
+def test_knn_join_draws_nothing(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    one = entry.queries()["knn_join"](spark, entry.SMOKE_DIR).collect()
+    monkeypatch.setattr(knn.NeighbourRates.fit.__func__, "__defaults__", (None, 5, 60))
+    monkeypatch.setattr(knn.nearest_rows, "__defaults__", (200,))
+    many = entry.queries()["knn_join"](spark, entry.SMOKE_DIR).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, many))
+
+
+def test_repeated_keys_keep_the_bound(spark):
+    train = [(1, i % 2, i % 5, [float(i), float(i % 7)]) for i in range(600)]  # one key
+    train += [(2, 1, 3, [4.0, 4.0])] * 600  # equal rows
+    _, model = fitted(spark, train, "fold", reference_rows=100)
+    assert 20 < model.reference.count() < 100 + KS[-1]
