@@ -4,8 +4,9 @@ A classifier fitted on a labelled table gives every document a posterior over do
 rates r >= 0 are then fitted so that the expected tokens of every domain, sum(r * tokens * p), match
 its target: projected gradient descent on the squared gap, in the geometry where a document counts
 by its tokens, so the gradient of a document is its posterior times the gap of the domains. A step
-needs one pass over a narrow table and brings back one number per domain. Rates aren't stored
-between steps: a document's rate follows from its posterior and the gaps so far.
+needs one pass over a narrow table and brings back two numbers per domain. Rates are stored once in
+``hold`` steps; between, a document's rate follows from its posterior and the gaps since. The fit ends
+where the targets are met or the projected gradient vanishes, which is as near as they can be met.
 
 Rates start at 1 and are moved only as far as the gaps call for. ``copies`` turns a rate into whole
 copies, whose expectation is the rate, by a draw from the document's id.
@@ -14,6 +15,7 @@ copies, whose expectation is the rate, by a draw from the document's id.
 from __future__ import annotations
 
 import io
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,15 +40,18 @@ WHOLE = Encoding(bins=1024, passage_words=1 << 40)
 @dataclass(frozen=True)
 class Mix:
     """``max_docs``: labelled documents that the classifier is fitted on, at most. ``anchor``: the
-    domain whose tokens as they are set the total; None keeps the total of all tokens. ``gap``:
-    largest distance of a share from its target at which the fit ends; ``steps``: steps at most;
-    ``max_rate``: how often a document is used at most."""
+    domain whose tokens as they are set the total; None keeps the total of all tokens. The fit ends
+    at ``gap``, the largest distance of a share from its target, or at ``still``, the norm of the
+    projected gradient; ``steps``: steps at most, None for no limit; ``hold``: steps until rates are
+    stored; ``max_rate``: how often a document is used at most, None for no limit."""
 
     max_docs: int = 6000
     anchor: str | None = "good"
     gap: float = 1e-5
-    steps: int = 80
-    max_rate: float = 4.0
+    still: float = 1e-7
+    steps: int | None = None
+    hold: int = 60
+    max_rate: float | None = None
     epochs: int = 200
     rate: float = 0.05
     encoding: Encoding = WHOLE
@@ -139,17 +144,20 @@ def posteriors(docs: DataFrame, model: np.ndarray, how: Mix) -> DataFrame:
 Step = tuple[list[float], bool]
 
 
-def rates_of(p: np.ndarray, path: list[Step], step: float, most: float) -> tuple[np.ndarray, np.ndarray]:
+def rates_of(
+    p: np.ndarray, start: np.ndarray, path: list[Step], step: float, most: float | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rates after accelerated projected steps along ``path`` (a gap, and whether momentum
-    starts anew), from 1, and the rates at which the next gap is to be taken."""
-    rate = ahead = np.ones(len(p))
-    pull = 1.0
+    starts anew), from ``start``, the rates at which the next gap is to be taken, and the last move."""
+    rate = ahead = start
+    move, pull = np.zeros(len(p)), 1.0
     for gap, anew in path:
         new = np.clip(ahead - step * (p @ np.asarray(gap)), 0.0, most)
+        move = new - ahead
         further = 1.0 if anew else (1 + np.sqrt(1 + 4 * pull * pull)) / 2
         ahead = new if anew else new + (pull - 1) / further * (new - rate)
         rate, pull = new, further
-    return rate, ahead
+    return rate, ahead, move
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -157,16 +165,32 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def fit_rates(members: DataFrame, targets: list[float], how: Mix, anchor: int | None) -> tuple[list[Step], float]:
-    """The path and the step size that ``rates_of`` needs. ``members``: n_tokens, posteriors."""
+def _rated(members: DataFrame, path: list[Step], step: float, how: Mix) -> DataFrame:
+    """``members`` with ``rate`` moved along ``path``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                start = batch.column(3).to_numpy(zero_copy_only=False)
+                rate, _, _ = rates_of(_matrix(batch.column(2)), start, path, step, how.max_rate)
+                yield batch.set_column(3, "rate", pa.array(rate))
+
+    kind = "doc_id bigint, n_tokens bigint, posteriors array<double>, rate double"
+    return members.mapInArrow(run, kind)
+
+
+def fit_rates(members: DataFrame, targets: list[float], how: Mix, anchor: int | None) -> DataFrame:
+    """``members`` (doc_id, n_tokens, posteriors) with the fitted ``rate``. Warns of the gap that
+    remains where the targets aren't met."""
     width = len(targets)
     p = [F.col("posteriors")[i] for i in range(width)]
     sums = [F.sum(F.col("n_tokens") * x) for x in p]
     products = [F.sum(F.col("n_tokens") * a * b) for a in p for b in p]
     row = members.agg(F.sum("n_tokens"), *sums, *products).first()
+    members = members.select("doc_id", "n_tokens", "posteriors", F.lit(1.0).alias("rate"))
     total = float(row[0] or 0)
     if total == 0:
-        return [], 0.0
+        return members
     have = np.array(row[1 : 1 + width], float) / total
     gram = np.array(row[1 + width :], float).reshape(width, width) / total
     want = np.asarray(targets, float) / sum(targets)
@@ -174,28 +198,42 @@ def fit_rates(members: DataFrame, targets: list[float], how: Mix, anchor: int |
         want = want * have[anchor] / want[anchor]
     step = 1.0 / max(float(np.linalg.eigvalsh(gram).max()), 1e-12)
     path: list[Step] = []
-    reached, last = have, np.inf
-    while len(path) < how.steps:
+    reached = ahead = have  # by the rates, and where the next gap is taken
+    last = still = np.inf
+    done = 0
+    while True:
         gap = reached - want
-        now = float(np.square(gap).sum())
         if np.abs(gap).max() <= how.gap:
             break
-        path.append((gap.tolist(), now > last))
+        if still <= how.still or done == how.steps:
+            why = "can't be met" if still <= how.still else f"aren't met after {done} steps"
+            warnings.warn(f"targets {why}; gaps by domain: {gap.tolist()}", stacklevel=2)
+            break
+        if len(path) == how.hold:
+            members = stage(_rated(members, path, step, how), "rates")
+            path, ahead = [], reached
+        now = float(np.square(gap).sum())
+        path.append(((ahead - want).tolist(), now > last))
         last = now
+        done += 1
 
-        def run(batches: Iterator[pa.RecordBatch], done=tuple(path)) -> Iterator[pa.RecordBatch]:
-            at = np.zeros(width)
+        def run(batches: Iterator[pa.RecordBatch], path=tuple(path)) -> Iterator[pa.RecordBatch]:
+            at = np.zeros(2 * width + 1)
             for batch in batches:
                 q = _matrix(batch.column(1))
                 if len(q):
-                    tokens = batch.column(0).to_numpy(zero_copy_only=False)
-                    at += (rates_of(q, done, step, how.max_rate)[1] * tokens) @ q
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in at], [f"s{i}" for i in range(width)])
+                    tokens, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+                    rate, further, move = rates_of(q, start, path, step, how.max_rate)
+                    at[:width] += (rate * tokens) @ q
+                    at[width:-1] += (further * tokens) @ q
+                    at[-1] += (move * move) @ tokens
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in at], [f"s{i}" for i in range(len(at))])
 
-        kind = ", ".join(f"s{i} double" for i in range(width))
-        parts = members.select("n_tokens", "posteriors").mapInArrow(run, kind)
-        reached = np.array(parts.agg(*[F.sum(c) for c in parts.columns]).first(), float) / total
-    return path, step
+        kind = ", ".join(f"s{i} double" for i in range(2 * width + 1))
+        parts = members.select("n_tokens", "posteriors", "rate").mapInArrow(run, kind)
+        found = np.array(parts.agg(*[F.sum(c) for c in parts.columns]).first(), float) / total
+        reached, ahead, still = found[:width], found[width:-1], np.sqrt(found[-1]) / step
+    return _rated(members, path, step, how)
 
 
 def mix(
@@ -205,26 +243,15 @@ def mix(
 
     Null and empty texts have no tokens: they get a rate by their posterior but don't bear on the
     fit. Repeated rows count as often as they occur and get equal copies. Without labels all
-    posteriors are even. A domain nobody belongs to leaves its target unmet, as near as least
-    squares gets. An empty table gives an empty result; further columns are ignored.
+    posteriors are even. Targets that no rates meet, such as of a domain nobody belongs to, are met as
+    nearly as least squares gets, with a warning. An empty table gives an empty result; further columns are ignored.
     """
     domains = sorted(targets)
     docs = pick(docs, doc_id="bigint", text="string")
     model = fit_posteriors(docs, labelled, domains, how)
     members = stage(posteriors(docs, model, how), "posteriors")
     anchor = domains.index(how.anchor) if how.anchor is not None else None
-    path, step = fit_rates(members, [targets[d] for d in domains], how, anchor)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                rate, _ = rates_of(_matrix(batch.column(2)), path, step, how.max_rate)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(rate)], [*batch.schema.names, "rate"]
-                )
-
-    kind = "doc_id bigint, n_tokens bigint, posteriors array<double>, rate double"
-    rated = members.mapInArrow(run, kind)
+    rated = fit_rates(members, [targets[d] for d in domains], how, anchor)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 52)) / float(1 << 52)
     whole = F.floor("rate")
     copies = whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)

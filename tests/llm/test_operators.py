@@ -2,6 +2,7 @@
 
 import math
 import re
+import warnings
 import zlib
 from collections import Counter
 
@@ -282,6 +283,20 @@ def test_mixing_meets_targets(spark):
         assert abs(sum(r.copies * r.n_tokens * r.posteriors[k] for r in rows) / total - targets[name]) < 0.05
 
 
+@pytest.mark.parametrize("met", [True, False])
+def test_mixing_gets_as_near_as_least_squares(spark, met):
+    """Orthogonal domains, whose least-squares rates are known; the last may have no documents."""
+    want = np.array([0.9, *[0.1 / 7] * 7] if met else [*[0.5 / 8] * 8, 0.5])
+    p = np.eye(len(want))[:8]
+    kind = "doc_id long, n_tokens long, posteriors array<double>"
+    members = spark.createDataFrame([(i, 100, x.tolist()) for i, x in enumerate(p)], kind)
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        rows = mixing.fit_rates(members, want.tolist(), mixing.Mix(anchor=None), None).collect()
+    assert [r.rate for r in sorted(rows)] == pytest.approx(list(8 * want[:8]), abs=1e-4)
+    assert any("can't be met" in str(w.message) for w in said) != met
+
+
 def test_pieces_are_lossless_and_reproducible(docs, spark):
     vocabulary = piece_sampling.load_vocabulary()
     keyed = docs.withColumn("before", F.coalesce("text", F.lit("")))
