@@ -3,7 +3,7 @@
 A classifier fitted on a labelled table gives every document a posterior over domains. Document
 rates r >= 0 are then fitted so that the expected tokens of every domain, sum(r * tokens * p), match
 its target: projected gradient descent on the squared gap, in the geometry where a document counts
-by its tokens, so the gradient of a document is its posterior times the gap of the domains. A step
+by its tokens and a gap by how hard the posteriors can move it, so the gradient of a document is its posterior times the scaled gap of the domains. A step
 needs one pass over a narrow table and brings back two numbers per domain. Rates are stored once in
 ``hold`` steps; between, a document's rate follows from its posterior and the gaps since. The fit ends
 where the targets are met or the projected gradient vanishes, which is as near as they can be met.
@@ -33,6 +33,9 @@ from creditfeat.llm.passages import Encoding, PassageEncoder, worker_encoder
 TARGETS = {"good": 0.85, "poor": 0.10, "toxic": 0.05}
 
 
+# Least weight of a direction of the domains in the geometry of the fit, beside the strongest.
+FLAT = 1e-4
+
 #: The whole document is one passage.
 WHOLE = Encoding(bins=1024, passage_words=1 << 40)
 
@@ -41,14 +44,17 @@ WHOLE = Encoding(bins=1024, passage_words=1 << 40)
 class Mix:
     """``max_docs``: labelled documents that the classifier is fitted on, at most. ``anchor``: the
     domain whose tokens as they are set the total; None keeps the total of all tokens. The fit ends
-    at ``gap``, the largest distance of a share from its target, or at ``still``, the norm of the
-    projected gradient; ``steps``: steps at most, None for no limit; ``hold``: steps until rates are
-    stored; ``max_rate``: how often a document is used at most, None for no limit."""
+    at ``gap``, the largest distance of a share from its target; at ``still``, the norm of the
+    projected gradient beside the first one; or when ``patience`` steps in a row have not lowered
+    the squared gap by the share ``least_gain``, so that it always ends. ``steps``: steps at most, None for no limit;
+    ``hold``: steps until rates are stored; ``max_rate``: how often a document is used at most, None for no limit."""
 
     max_docs: int = 6000
     anchor: str | None = "good"
     gap: float = 1e-5
     still: float = 1e-7
+    patience: int = 15
+    least_gain: float = 0.02
     steps: int | None = None
     hold: int = 60
     max_rate: float | None = None
@@ -196,24 +202,34 @@ def fit_rates(members: DataFrame, targets: list[float], how: Mix, anchor: int |
     want = np.asarray(targets, float) / sum(targets)
     if anchor is not None and want[anchor] > 0:
         want = want * have[anchor] / want[anchor]
-    step = 1.0 / max(float(np.linalg.eigvalsh(gram).max()), 1e-12)
+    # Gaps are measured by the inverse of what rates can move (the Gram matrix of the posteriors), so
+    # one step goes the whole way as long as no rate is held at a bound; a direction that hardly any
+    # posterior has is weighed by at most 1 / FLAT of the strongest.
+    strength, axes = np.linalg.eigh(gram)
+    scale = axes / np.maximum(strength, FLAT * max(float(strength.max()), 1e-12)) @ axes.T
+    step = 1.0
     path: list[Step] = []
     reached = ahead = have  # by the rates, and where the next gap is taken
-    last = still = np.inf
-    done = 0
+    last = still = best = np.inf
+    first, done, since = 0.0, 0, 0
     while True:
         gap = reached - want
+        now = float(gap @ scale @ gap)
+        if now < (1 - how.least_gain) * best:
+            best, since = now, 0
+        else:
+            since += 1
+        stuck = still <= how.still * max(1.0, first) or since >= how.patience
         if np.abs(gap).max() <= how.gap:
             break
-        if still <= how.still or done == how.steps:
-            why = "can't be met" if still <= how.still else f"aren't met after {done} steps"
+        if stuck or done == how.steps:
+            why = "can't be met" if stuck else f"aren't met after {done} steps"
             warnings.warn(f"targets {why}; gaps by domain: {gap.tolist()}", stacklevel=2)
             break
         if len(path) == how.hold:
             members = stage(_rated(members, path, step, how), "rates")
             path, ahead = [], reached
-        now = float(np.square(gap).sum())
-        path.append(((ahead - want).tolist(), now > last))
+        path.append((((ahead - want) @ scale).tolist(), now > last))
         last = now
         done += 1
 
@@ -232,7 +248,8 @@ def fit_rates(members: DataFrame, targets: list[float], how: Mix, anchor: int |
         kind = ", ".join(f"s{i} double" for i in range(2 * width + 1))
         parts = members.select("n_tokens", "posteriors", "rate").mapInArrow(run, kind)
         found = np.array(parts.agg(*[F.sum(c) for c in parts.columns]).first(), float) / total
-        reached, ahead, still = found[:width], found[width:-1], np.sqrt(found[-1]) / step
+        reached, ahead, still = found[:width], found[width:-1], float(np.sqrt(found[-1])) / step
+        first = still if done == 1 else first
     return _rated(members, path, step, how)
 
 
