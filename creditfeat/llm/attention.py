@@ -25,6 +25,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from creditfeat.llm.common import fold_of, pick, ship_package
 from creditfeat.llm.passages import Encoding, PassageEncoder, worker_encoder
 
+# Rows with all their columns that a worker scores and hands back at once.
+PART_ROWS = 1000
+
 
 @dataclass(frozen=True)
 class Fit:
@@ -104,7 +107,7 @@ def fit_bags(x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, how: Fit) ->
         "c": np.zeros(how.hidden, np.float32),
         "d": np.array([np.log(share / (1 - share))], np.float32),
     }
-    if labels.min(initial=1) == labels.max(initial=0):
+    if len(np.unique(labels)) < 2:
         return m
     m["c"] = (0.1 * rng.standard_normal(how.hidden)).astype(np.float32)
     m["w"] = (0.1 * rng.standard_normal(how.gates)).astype(np.float32)
@@ -218,11 +221,11 @@ def score_rows(docs: DataFrame, model: dict[str, np.ndarray], how: Fit = Fit())
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(how.encoding)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            scores = [_forward(model, x, n)["y"] for x, n, _ in encoder.chunks(texts)]
-            if scores:
+            for part in (batch.slice(i, PART_ROWS) for i in range(0, len(batch), PART_ROWS)):
+                texts = part.column(at).to_pylist()
+                scores = [_forward(model, x, n)["y"] for x, n, _ in encoder.chunks(texts)]
                 found = pa.array(np.concatenate(scores).astype(np.float64))
-                yield batch.append_column("quality_score", found)
+                yield part.append_column("quality_score", found)
 
     kind = StructType([*docs.schema.fields, StructField("quality_score", DoubleType())])
     return docs.mapInArrow(run, kind)

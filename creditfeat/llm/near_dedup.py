@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from creditfeat.llm.common import pick, ship_package, stage
+from creditfeat.llm.common import pick, ship_package, stage, worker_state
 from creditfeat.llm.components import connected_components
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 _M64 = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -92,6 +92,10 @@ class Shingler:
         return np.unique(out)
 
 
+def worker_shingler(words: int) -> Shingler:
+    return worker_state(("shingles", words), lambda key: Shingler(key[1]))
+
+
 class Registers:
     def __init__(self, how: Sketch) -> None:
         rng = np.random.default_rng(how.seed)
@@ -121,7 +125,7 @@ def sketch(docs: DataFrame, how: Sketch = Sketch()) -> DataFrame:
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, registers = Shingler(how.words), Registers(how)
+        shingler, registers = worker_shingler(how.words), Registers(how)
         for batch in batches:
             sizes, nodes, kept = [], [], []
             for text in batch.column(2).cast(pa.binary()):
@@ -246,7 +250,7 @@ def _with_sets(docs: DataFrame, members: DataFrame, how: Sketch) -> DataFrame:
     them. ``members``: cluster, node, doc_id, text_key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, registers = Shingler(how.words), Registers(how)
+        shingler, registers = worker_shingler(how.words), Registers(how)
         for batch in batches:
             sets = [shingler(t.as_py()) for t in batch.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(
@@ -260,7 +264,13 @@ def _with_sets(docs: DataFrame, members: DataFrame, how: Sketch) -> DataFrame:
             )
 
     # Members grow with the corpus and have no size bound, so they are never broadcast.
-    joined = _keyed(docs).join(members.hint("merge"), ["doc_id", "text_key"]).select("cluster", "node", "text")
+    # Rows that repeat an id and a text are one member: only one of them goes on.
+    joined = (
+        _keyed(docs)
+        .join(members.hint("merge"), ["doc_id", "text_key"])
+        .groupBy("cluster", "node")
+        .agg(F.first("text").alias("text"))
+    )
     return joined.mapInArrow(run, "cluster bigint, node bigint, registers binary, shingles binary")
 
 

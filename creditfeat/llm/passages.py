@@ -7,13 +7,14 @@ other letters, repetition. Nothing about them is learned, so every worker comput
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
+from creditfeat.llm.common import worker_state
+
 _SYMBOLS = frozenset("#*$%&|<>!^~@")
 # Words kept by a worker's cache before it starts anew, and words turned into features at once.
 CACHE_WORDS = 400_000
@@ -122,7 +123,6 @@ class PassageEncoder:
         return out, n_passages, n_words
 
 
-@functools.lru_cache(maxsize=2)
 def worker_encoder(encoding: Encoding) -> PassageEncoder:
     """A worker's encoder, so that later tasks find the words of earlier ones."""
-    return PassageEncoder(encoding)
+    return worker_state(encoding, PassageEncoder)

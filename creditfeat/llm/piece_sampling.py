@@ -13,7 +13,6 @@ characters that are no piece become byte pieces, so decoding gives the very text
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from creditfeat.llm.common import ship_package
+from creditfeat.llm.common import ship_package, worker_state
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
@@ -331,10 +330,9 @@ class Sampler:
         return out, np.bincount(row, weights=width, minlength=len(of_row)).astype(np.int64)
 
 
-@functools.lru_cache(maxsize=1)
 def _sampler(vocabulary: Vocabulary, how: Sampling) -> Sampler:
     """A worker's sampler, so that later tasks find the lattices of earlier ones."""
-    return Sampler(vocabulary, how)
+    return worker_state((vocabulary, how), lambda key: Sampler(*key))
 
 
 def _values(column: pa.Array) -> Iterator:
