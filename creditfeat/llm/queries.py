@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from creditfeat.catalog import Catalog
 from creditfeat.llm import (
     attention,
+    bisector,
     class_lm,
     mixing,
     near_dedup,
     onebit,
+    periodic,
     piece_sampling,
     quality_rules,
     secrets,
     sharding,
+    suffix_repeats,
     warc,
 )
 from creditfeat.llm.common import table
@@ -147,3 +150,83 @@ def op9_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.query()
 def op10_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return onebit.search(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+@CATALOG.query()
+def op11_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_repeats.cut_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def _op12_sql(how: bisector.Clusters) -> str:
+    """The rounds one after the other, with all distances."""
+    steps = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda e: floor({how.scale} * e::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE len(embedding) = {how.dims}
+    AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {how.dims}
+)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x AS p
+  FROM (SELECT sha256('{how.seed}:' || vec_id) AS h, x FROM v WHERE vec_id IS NOT NULL)
+  ORDER BY h, x LIMIT {how.k}
+)""",
+    ]
+    for i in range(how.rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (
+  SELECT r, min(struct_pack(d := d, c := c)) AS m
+  FROM (SELECT r, c, list_sum(list_transform(list_zip(x, p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+        FROM v, c{i})
+  GROUP BY r
+)"""
+        )
+        if i < how.rounds:
+            steps.append(
+                f"""c{i + 1} AS MATERIALIZED (
+  SELECT c, coalesce(q, p) AS p FROM c{i} LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS q FROM (
+      SELECT m.c AS c, i, sum(x[i]) AS s, count(*) AS n
+      FROM a{i} JOIN v USING (r), range(1, {how.dims + 1}) AS t(i) GROUP BY ALL
+    ) GROUP BY c
+  ) USING (c)
+)"""
+            )
+    last = how.rounds
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, m.c::INTEGER AS cluster, m.d AS distance,
+       (sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia,
+       (sum(m.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(p, ',')) AS centroid_sha256
+FROM a{last} JOIN v USING (r) JOIN c{last} ON c{last}.c = m.c"""
+
+
+@CATALOG.query(_op12_sql(bisector.Clusters()))
+def op12_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bisector.centroid_clusters(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("centroid_sha256", bisector.point_hash(F.col("centroid"))).drop("centroid")
+
+
+@CATALOG.query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.with_repeats(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", periodic.strongest(F.col("runs")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
