@@ -27,9 +27,9 @@ from creditfeat.llm.common import ship_package, worker_state
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
-CACHE_UNITS = 240_000
-SEEN_UNITS = 800_000
-CHUNK_UNITS = 400_000
+CACHE_UNITS = 160_000
+SEEN_UNITS = 400_000
+CHUNK_UNITS = 200_000
 BUILD_UNITS = 30_000  # lattices built at once
 LIST_ROWS = 1_000  # rows that are Python objects at once
 _LONG_UNIT = 48
