@@ -13,6 +13,7 @@ from creditfeat.functions import features
 from creditfeat.operators import metrics, profile
 from creditfeat.operators.encoders import TargetEncoder
 from creditfeat.operators.folds import with_split
+from creditfeat.operators.isotonic import pooled_curve
 from creditfeat.staging import stage
 
 CATALOG = Catalog()
@@ -59,6 +60,22 @@ def roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.roc_points(scored(spark, sf_dir), "p", "default")
 
 
+@CATALOG.query(
+    f"""WITH {COUNTS},
+    c AS (SELECT row_number() OVER (ORDER BY p) AS i, p, n, pos, sum(n) OVER (ORDER BY p) AS cn,
+        sum(pos) OVER (ORDER BY p) AS cp FROM counts),
+    pairs AS (SELECT a.i AS j, b.i AS k, (b.cp - a.cp + a.pos)::DOUBLE / (b.cn - a.cn + a.n)::DOUBLE AS m
+      FROM c a JOIN c b ON b.i >= a.i),
+    least AS (SELECT j, k, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS m FROM pairs),
+    fitted AS (SELECT k AS i, max(m) AS value FROM least GROUP BY k)
+    SELECT min(p) AS low, max(p) AS high, value, sum(n)::BIGINT AS weight
+    FROM fitted JOIN c USING (i) GROUP BY value"""
+)
+def isotonic_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The isotonic fit of the label on the score; the twin is the max-min formula over all scores."""
+    return pooled_curve(scored(spark, sf_dir), "p", "default")
+
+
 _AUC = """sum(pos::DOUBLE * (2 * below + neg)) / (2.0 * sum(pos)::DOUBLE * sum(neg)::DOUBLE)"""
 
 

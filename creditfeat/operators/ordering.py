@@ -2,10 +2,9 @@
 group in one task.
 
 Input tables hold one row per distinct value with integer weights, so a value that
-holds a third of all rows is still a single row here. Groups larger than
-``rows_per_task`` are cut at sampled split points; each piece is summed locally and
-shifted by the totals of the pieces before it. The split points only steer the work,
-the results are exact.
+holds a third of all rows is still a single row here. The values are dealt into ranges of
+about ``rows_per_task`` rows, whatever the groups; each range is summed locally and shifted by
+the totals of the ranges before it. The ranges only steer the work, the results are exact.
 """
 
 from __future__ import annotations
@@ -13,35 +12,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditfeat.staging import stage
 
 ROWS_PER_TASK = 500_000
-MAX_PIECES = 4096
-_STRIDE = 64
-
-
-def _split_points(counts: DataFrame, value: str, by: list[str], stride: int) -> DataFrame:
-    """Per group, an ordered sample of about one in ``stride`` values, drawn by hash. It is
-    a function of the values alone, so every reading of the table is cut alike."""
-    drawn = counts.where(F.pmod(F.xxhash64(value), F.lit(stride)) == 0)
-    points = drawn.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_points"))
-    points = points.withColumn(
-        "_coarse", F.filter("_points", lambda _, i: i % _STRIDE == _STRIDE - 1)
-    )
-    # About MAX_PIECES values at most for each of the few groups.
-    return counts.sparkSession.createDataFrame(points.collect(), points.schema)
-
-
-def _piece(value: Column) -> Column:
-    """Number of split points below ``value``: a coarse search, then one stride. Null
-    without split points."""
-    skip = F.size(F.filter("_coarse", lambda p: p < value)) * _STRIDE
-    near = F.slice("_points", skip + 1, _STRIDE)
-    return skip + F.size(F.filter(near, lambda p: p < value))
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -61,42 +38,34 @@ def running_totals(
 ) -> DataFrame:
     """Add ``cum_<m>``: the total of measure ``m`` up to and including this row's value.
 
-    ``counts`` has one row per (by, value), no null values, and few groups in ``by``
-    (columns, folds, models). It is read more than once: stage it if it is costly.
+    ``counts`` has one row per (by, value) and no null values. It is read twice: stage it if it
+    is costly. The ranges are staged with their numbers, so that all that follows sees the same ones; a
+    range spans the end of one group, whole groups, and the beginning of another.
     """
     by = list(by)
+    ranges = max(1, math.ceil(counts.count() / rows_per_task))
     order = F.col(value).desc() if descending else F.col(value).asc()
-    sizes = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-    largest = sizes[0] or 0
-    if largest <= rows_per_task:
-        upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return counts.withColumns({f"cum_{m}": F.sum(m).over(upto) for m in measures})
-
-    stride = max(1, rows_per_task // 2, math.ceil(largest / MAX_PIECES))
-    points = F.broadcast(_split_points(counts, value, by, stride))
-    # Without groups, the points are one row; a small group may have none.
-    cut = _join_null_safe(counts, points, by, "left") if by else counts.crossJoin(points)
-    cut = cut.withColumn("_piece", F.coalesce(_piece(F.col(value)), F.lit(0)))
-    cut = cut.drop("_points", "_coarse")
-    # About MAX_PIECES rows at most for each of the few groups.
-    piece_order = F.col("_piece").desc() if descending else F.col("_piece").asc()
-    before = Window.partitionBy(*by).orderBy(piece_order).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = counts.repartitionByRange(ranges, *by, order) if ranges > 1 else counts.coalesce(1)
+    dealt = stage(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    # One row for each range and group in it: fewer than ranges + groups.
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        cut.groupBy(*by, "_piece")
+        dealt.groupBy(*by, "_range")
         .agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
         .select(
             *by,
-            "_piece",
+            "_range",
             *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_s_{m}") for m in measures],
         )
     )
     upto = (
-        Window.partitionBy(*by, "_piece").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    local = dealt.withColumns({f"cum_{m}": F.sum(m).over(upto) for m in measures})
+    out = _join_null_safe(local, shifts, [*by, "_range"], "inner")
+    return out.withColumns({f"cum_{m}": F.col(f"cum_{m}") + F.col(f"_s_{m}") for m in measures}).drop(
+        "_range", *[f"_s_{m}" for m in measures]
     )
-    out = _join_null_safe(cut, F.broadcast(shifts), [*by, "_piece"], "inner")
-    return out.withColumns(
-        {f"cum_{m}": F.sum(m).over(upto) + F.col(f"_s_{m}") for m in measures}
-    ).drop("_piece", *[f"_s_{m}" for m in measures])
 
 
 def weighted_quantiles(
