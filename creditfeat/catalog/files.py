@@ -45,14 +45,12 @@ def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_parquet(spark, path)
 
 
-@CATALOG.query("SELECT o_orderkey, o_totalprice, o_orderpriority, o_orderstatus FROM orders")
+@CATALOG.query("SELECT * FROM orders")
 def workbook_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows packed into workbooks and parsed again, one workbook per batch and task."""
-    df = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus"
-    )
-    schema = "o_orderkey bigint, o_totalprice double, o_orderpriority string, o_orderstatus string"
-    return workbooks.parse_workbooks(workbooks.to_workbooks(df), schema)
+    """All columns written as .xlsx files and read back."""
+    df, path = table(spark, sf_dir, "orders"), fresh_path(spark, "xlsx")
+    workbooks.write_workbooks(df, path)
+    return workbooks.read_workbooks(spark, path, df.schema)
 
 
 _X = ["customer_ref", "loan_amount", "age"]

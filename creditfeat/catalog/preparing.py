@@ -24,7 +24,7 @@ from creditfeat.operators.encoders import TargetEncoder
 from creditfeat.operators.folds import with_split
 from creditfeat.operators.woe import bin_number
 from creditfeat.plans.preparation import clean_sources, merge_sources
-from creditfeat.sources import tables, workbooks
+from creditfeat.sources.applicants import through_files
 from creditfeat.staging import fresh_path, lookup, settle
 
 CATALOG = Catalog()
@@ -371,33 +371,9 @@ _ALL_SQL = {
 )
 def ingest_six_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six sources written in their own formats, read back with the source schemas, cleaned
-    and joined, with all columns of the result. Workbooks are kept as a column of file contents,
-    as Spark has no sink for binary files."""
+    and joined, with all columns of the result."""
     raw = raw_sources(spark, sf_dir)
-    path = {name: fresh_path(spark, name) for name in raw}
-    tables.write_csv(raw["application_metadata"], path["application_metadata"])
-    tables.write_csv(raw["demographics"], path["demographics"])
-    tables.write_parquet(raw["credit_history"], path["credit_history"])
-    tables.write_json_lines(raw["financial_ratios"], path["financial_ratios"])
-    tables.write_parquet(workbooks.to_workbooks(raw["loan_details"]), path["loan_details"])
-    tables.write_xml_records(raw["geographic_data"], path["geographic_data"])
-    read = {
-        "application_metadata": tables.read_csv(
-            spark, path["application_metadata"], schemas.APPLICATION_METADATA
-        ),
-        "demographics": tables.read_csv(spark, path["demographics"], schemas.DEMOGRAPHICS),
-        "credit_history": spark.read.schema(schemas.CREDIT_HISTORY).parquet(path["credit_history"]),
-        "financial_ratios": tables.read_json_lines(
-            spark, path["financial_ratios"], schemas.FINANCIAL_RATIOS
-        ),
-        "loan_details": workbooks.parse_workbooks(
-            tables.read_parquet(spark, path["loan_details"]), schemas.LOAN_DETAILS
-        ),
-        "geographic_data": tables.read_xml_records(
-            spark, path["geographic_data"], schemas.GEOGRAPHIC_DATA
-        ),
-    }
-    return merge_sources(clean_sources(read)).select(*_ALL_SQL)
+    return merge_sources(clean_sources(through_files(spark, raw))).select(*_ALL_SQL)
 
 
 @CATALOG.query("SELECT l_orderkey AS key, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
