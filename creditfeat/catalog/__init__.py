@@ -27,9 +27,9 @@ class Catalog:
 
 
 def _subjects() -> list[Catalog]:
-    from creditfeat.catalog import encoding, files, models, neighbours, preparing, profiling, scoring
+    from creditfeat.catalog import encoding, files, leakfree, models, neighbours, preparing, profiling, scoring
 
-    return [m.CATALOG for m in (files, preparing, profiling, scoring, encoding, neighbours, models)]
+    return [m.CATALOG for m in (files, preparing, profiling, scoring, encoding, neighbours, leakfree, models)]
 
 
 def queries() -> dict[str, Query]:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from creditfeat.operators.joins import duplicate_keys
 from creditfeat.operators.profile import class_balance, label_correlation
+from creditfeat.staging import stage
 
 SCHEMA = "check string, passed boolean, detail bigint"
 
@@ -125,3 +126,32 @@ def raise_on_failure(report: DataFrame) -> None:
     bad = report.where(~F.col("passed")).collect()  # one row per check
     if bad:
         raise AssertionError(", ".join(f"{r['check']}: {r['detail']}" for r in bad))
+
+
+def staged_with_checks(
+    df: DataFrame,
+    name: str,
+    no_nulls_in: Sequence[str] = (),
+    label: str | None = None,
+    scores: Sequence[str] = (),
+) -> tuple[DataFrame, dict]:
+    """``df`` staged, and what was observed while it was written: ``rows``, ``nulls`` in the named columns,
+    ``bad_labels`` (not 0 or 1), ``positives``, and per score its ``min_``, ``mean_`` and ``max_``. No further
+    scan is made. Raises if there are nulls, bad labels, or scores outside 0 to 1."""
+    seen = Observation(name)
+    null_in = sum((F.col(c).isNull().cast("int") for c in no_nulls_in), F.lit(0))
+    found = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(null_in), F.lit(0)).alias("nulls")]
+    if label is not None:
+        bad = F.col(label).isNull() | ~F.col(label).isin(0, 1)
+        found += [F.count_if(bad).alias("bad_labels"), F.coalesce(F.sum(label), F.lit(0)).alias("positives")]
+    for c in scores:
+        found += [F.min(c).alias(f"min_{c}"), F.avg(c).alias(f"mean_{c}"), F.max(c).alias(f"max_{c}")]
+    written = stage(df.observe(seen, *found), name)
+    metrics = dict(seen.get)
+    bad = {k: metrics[k] for k in ("nulls", "bad_labels") if metrics.get(k)}
+    for c in scores:
+        if metrics["rows"] and metrics[f"min_{c}"] is not None and not 0 <= metrics[f"min_{c}"] <= metrics[f"max_{c}"] <= 1:
+            bad[c] = (metrics[f"min_{c}"], metrics[f"max_{c}"])
+    if bad:
+        raise AssertionError(f"{name}: {bad}")
+    return written, metrics

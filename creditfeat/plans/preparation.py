@@ -34,7 +34,7 @@ def clean_sources(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     return {name: cleaning.nan_to_null(df) for name, df in t.items()}
 
 
-def merge_sources(clean: Mapping[str, DataFrame], check: bool = True) -> DataFrame:
+def merge_sources(clean: Mapping[str, DataFrame], check: bool | str = "in join") -> DataFrame:
     satellites = {name: (clean[name], key) for name, key in schemas.SATELLITE_KEYS.items()}
     return star_join(clean["application_metadata"], satellites, schemas.KEY, check)
 
