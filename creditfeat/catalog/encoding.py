@@ -313,9 +313,29 @@ def leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = quality.leak_report(
         both, [(c, f"{c}_oof", f"{c}_own") for c in CATEGORIES], "default"
     )
-    return report.select(
-        "feature",
-        F.round("oof_correlation", 6).alias("oof_correlation"),
-        F.round("in_sample_correlation", 6).alias("in_sample_correlation"),
-        "suspicious",
-    )
+    return _rounded_report(report)
+
+
+@CATALOG.query(
+    f"""WITH {applicants_sql(["customer_ref", "default", *WOE])}, {folds_sql(name="train")},
+    outside AS (WITH {_woe_sql(WOE, "train", True)} SELECT customer_ref, "default" AS y,
+      {", ".join(f"{_woe_lookup(c, 't', 't.fold')} AS oof_{c}" for c in WOE)} FROM train t),
+    inside AS (WITH {_woe_sql(WOE, "train", False)} SELECT customer_ref,
+      {", ".join(f"{_woe_lookup(c, 't', '-1')} AS own_{c}" for c in WOE)} FROM train t),
+    wide AS (SELECT * FROM outside JOIN inside USING (customer_ref))
+    {" UNION ALL ".join(f'''SELECT '{c}' AS feature, round(coalesce(abs(corr(oof_{c}, y)), 0), 6) AS oof_correlation,
+      round(coalesce(abs(corr(own_{c}, y)), 0), 6) AS in_sample_correlation,
+      coalesce(abs(corr(oof_{c}, y)), 0) > 0.9 AS suspicious FROM wide''' for c in WOE)}"""
+)
+def leak_report_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for weights of evidence."""
+    train = stage(labelled(spark, sf_dir, WOE), "folded")
+    encoder = WoeEncoder.fit(train, WOE, "default", "fold")
+    both = encoder.transform(encoder.transform(train, "oof", suffix="_oof"), "full_fit", suffix="_own")
+    report = quality.leak_report(both, [(c, f"{c}_oof", f"{c}_own") for c in WOE], "default")
+    return _rounded_report(report)
+
+
+def _rounded_report(report: DataFrame) -> DataFrame:
+    rounded = [F.round(c, 6).alias(c) for c in ("oof_correlation", "in_sample_correlation")]
+    return report.select("feature", *rounded, "suspicious")

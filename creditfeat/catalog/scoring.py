@@ -246,6 +246,9 @@ def best_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_RUN = {"n_trials": 50, "n_folds": 5, "n_models": 3}
+
+
 @CATALOG.query(
     f"""WITH {SCORED}, {split_sql("scored")},
     counts AS (SELECT split, p, sum("default") AS pos, count(*) - sum("default") AS neg
@@ -255,18 +258,25 @@ def best_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     aucs AS (SELECT split, {_AUC} AS auc FROM ranked GROUP BY split),
     sides AS (SELECT max(auc) FILTER (split = 'train') AS train_auc,
       max(auc) FILTER (split = 'test') AS test_auc FROM aucs),
+    single AS (SELECT state_p AS p, sum("default") AS pos, count(*) - sum("default") AS neg
+      FROM parted WHERE split = 'train' GROUP BY state_p),
+    below AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY p
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM single),
+    oof AS (SELECT {_AUC} AS oof_auc FROM below),
     roc AS (SELECT p, sum(pos) OVER d AS tp, sum(neg) OVER d AS fp, sum(pos) OVER () AS ap,
         sum(neg) OVER () AS an FROM counts WHERE split = 'test' WINDOW d AS (ORDER BY p DESC)),
     best AS (SELECT p AS optimal_threshold FROM roc ORDER BY tp * an - fp * ap DESC, p DESC LIMIT 1)
     SELECT round(train_auc, 9) AS train_auc, round(test_auc, 9) AS test_auc, optimal_threshold,
       round(train_auc - test_auc, 9) AS train_test_gap, train_auc - test_auc < 0.05 AS gap_ok,
-      test_auc >= 0.9 AS auc_ok FROM sides, best"""
+      test_auc >= 0.9 AS auc_ok, round(oof_auc, 9) AS oof_auc,
+      {", ".join(f"{v}::INT AS {n}" for n, v in _RUN.items())} FROM sides, best, oof"""
 )
 def evaluation_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parted = with_split(scored(spark, sf_dir), "customer_ref", "default")
-    record = metrics.evaluation_record(parted, "p", "default", "split")
+    """The blend on both splits, one encoding as the out-of-fold score, and the run's configuration."""
+    parted = stage(with_split(scored(spark, sf_dir), "customer_ref", "default"), "parted")
+    record = metrics.evaluation_record(parted, "p", "default", "split", oof_score="state_p", run=_RUN)
     return record.withColumns(
-        {c: F.round(c, 9) for c in ("train_auc", "test_auc", "train_test_gap")}
+        {c: F.round(c, 9) for c in ("train_auc", "test_auc", "train_test_gap", "oof_auc")}
     )
 
 

@@ -7,7 +7,7 @@ score shared by a third of all rows is one row.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -291,9 +291,27 @@ def best_weights(grid_auc: DataFrame) -> DataFrame:
 
 
 def evaluation_record(
-    df: DataFrame, score: str, label: str, split: str, gap_limit: float = 0.05, auc_goal: float = 0.9
+    df: DataFrame,
+    score: str,
+    label: str,
+    split: str,
+    gap_limit: float = 0.05,
+    auc_goal: float = 0.9,
+    oof_score: str | None = None,
+    run: Mapping[str, int] | None = None,
+) -> DataFrame:
+    """One row: AUC on both splits, their gap, the test threshold and the two gates. ``oof_score`` adds
+    ``oof_auc``, of the out-of-fold scores of the training rows; ``run`` adds its items as columns."""
+    record = _evaluation(df, score, label, split, gap_limit, auc_goal)
+    if oof_score is not None:
+        own = auc(df.where(F.col(split) == "train"), oof_score, label)
+        record = record.crossJoin(own.select(F.col("auc").alias("oof_auc")))  # one row each
+    return record.withColumns({n: F.lit(int(v)) for n, v in (run or {}).items()})
+
+
+def _evaluation(
+    df: DataFrame, score: str, label: str, split: str, gap_limit: float, auc_goal: float
 ) -> DataFrame:
-    """One row: AUC on both splits, their gap, the test threshold and the two gates."""
     both = auc(df, score, label, [split])
     best = youden(roc_points(df.where(F.col(split) == "test"), score, label))
     return (
