@@ -3,7 +3,8 @@
 Patterns find assigned secrets, access keys and long hex strings. Base64 and hex candidates are
 decoded beyond that, and reported only if the bytes have the structure of a key: DER whose nested
 lengths fit exactly, an OpenSSH container whose strings fit exactly, or a signed token with a
-JSON header that names its algorithm.
+JSON header that names its algorithm. Candidates may be armoured, with header lines or with escaped line
+ends as in JSON, unarmoured on one line or wrapped over several, in hex, or armour inside base64.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from creditfeat.llm.common import pick, ship_package
 
 BASE_KINDS = ["assign", "access", "hex"]
 #: In the order in which spans of one start are listed.
-KINDS = [*BASE_KINDS, "jwt", "pem", "der", "ssh", "hexder"]
+KINDS = [*BASE_KINDS, "jwt", "pem", "der", "ssh", "hexder", "hexssh", "pem64"]
 MASK = "[REDACTED]"
 
 _ASSIGN = re.compile(
@@ -34,9 +35,15 @@ _HINTS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+# Bodies run to the next five dashes; header lines and escaped line ends are among them.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)+)-----END \1-----", re.DOTALL)
+_PEM_HEADER = re.compile(r"^[A-Za-z][A-Za-z0-9-]*:.*$", re.MULTILINE)
+_ESCAPED_END = re.compile(r"(?:\\r)?\\n|\\r")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-_HEXDER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
+# The rest of a value that is wrapped over lines, whose ends may be escaped.
+_NEXT_LINE = re.compile(r"(?:\r?\n[ \t]*|(?:\\r)?\\n)([A-Za-z0-9+/_-]+={0,2})")
+_STARTS = ("M", "b3Bl", "LS0tLS1CRUdJTi")  # base64 of DER, of an OpenSSH key, of armour
+_HEXKEY = re.compile(r"(?<![0-9A-Fa-f])(?:30|6[Ff]70656[Ee]737368)[0-9A-Fa-f]{46,}")
 _SSH_MAGIC = b"openssh-key-v1\x00"
 
 
@@ -119,6 +126,78 @@ def is_signed_token(header: str, payload: str, signature: str) -> bool:
     return isinstance(algorithm, str) and (bool(signature) or algorithm.lower() == "none")
 
 
+def is_armoured_key(body: str) -> bool:
+    """Whether what stands between the armour lines decodes to a key. The key of a body with the
+    header lines of an encrypted one has no structure of its own, but whole cipher blocks."""
+    body = _ESCAPED_END.sub("\n", body)
+    headers = _PEM_HEADER.findall(body)
+    data = _decoded(_PEM_HEADER.sub("", body))
+    if not data:
+        return False
+    if any("ENCRYPTED" in h for h in headers) and any(h.startswith("DEK-Info:") for h in headers):
+        return len(data) >= 16 and len(data) % 8 == 0
+    return is_private_der(data) or is_openssh_key(data)
+
+
+def _size_of(data: bytes) -> int | None:
+    """Bytes that the key at the start of ``data`` says it has, if it begins like one."""
+    if data[:1] == b"\x30" and len(data) > 1:
+        width = data[1] & 0x7F if data[1] & 0x80 else 0
+        if width > 4 or len(data) < 2 + width:
+            return None
+        return 2 + width + (int.from_bytes(data[2 : 2 + width], "big") if width else data[1])
+    if data.startswith(_SSH_MAGIC):
+        at = len(_SSH_MAGIC)
+        for part in ("string", "string", "string", "count", "string", "string"):
+            if at + 4 > len(data):
+                return None
+            at += 4 + (int.from_bytes(data[at : at + 4], "big") if part == "string" else 0)
+        return at
+    return None
+
+
+def _wrapped(text: str, lines: list[str], end: int) -> int | None:
+    """Adds the next line of a value that ends at ``end`` to ``lines``; where that one ends."""
+    follows = None if lines[-1].endswith("=") else _NEXT_LINE.match(text, end)
+    if not follows:
+        return None
+    lines.append(follows[1])
+    return follows.end()
+
+
+def _unarmoured(text: str, start: int, end: int) -> tuple[str, int, int] | None:
+    """The key that begins with the run of base64 from ``start`` to ``end``, on one line or wrapped over several.
+    A key's own length says how many lines are taken, and it must end where a line does."""
+    if text[start] == "n" and text[start - 1 : start] == "\\":  # the letter of an escaped line end
+        start += 1
+    if not text.startswith(_STARTS, start):
+        return None
+    lines = [text[start:end]]
+    armour = text.startswith(_STARTS[2], start)
+    while True:
+        whole = "".join(lines)
+        data = _decoded(whole if whole.endswith("=") else whole[: len(whole) // 4 * 4]) or b""
+        if armour:
+            inner = _PEM.search(data.decode("ascii", "replace"))
+            if inner:
+                return ("pem64", start, end) if is_armoured_key(inner[2]) else None
+        else:
+            need = _size_of(data)
+            if need is None and not text.startswith(_STARTS[1], start):
+                return None
+            if need is not None and 4 * need <= 3 * len(whole):
+                data = _decoded(whole) or b""
+                kind = "der" if is_private_der(data) else "ssh" if is_openssh_key(data) else None
+                return (kind, start, end) if kind else None
+        further = _wrapped(text, lines, end)
+        if further is None:
+            # The last characters of an unpadded value may be less than a group of four.
+            data = _decoded(whole) or b""
+            kind = "der" if is_private_der(data) else "ssh" if is_openssh_key(data) else None
+            return (kind, start, end) if kind else None
+        end = further
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then by kind as in ``KINDS``."""
     spans = []
@@ -136,19 +215,22 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         ]
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            data = _decoded(m[2])
-            if data and (is_private_der(data) or is_openssh_key(data)):
+            if is_armoured_key(m[2]):
                 spans.append(("pem", m.start(), m.end()))
+    done = 0
     for m in _BASE64.finditer(text):
-        if m[0][0] == "M" or m[0].startswith("b3Bl"):
-            data = _decoded(m[0])
-            if data and is_private_der(data):
-                spans.append(("der", m.start(), m.end()))
-            elif data and is_openssh_key(data):
-                spans.append(("ssh", m.start(), m.end()))
-    for m in _HEXDER.finditer(text):
-        if len(m[0]) % 2 == 0 and is_private_der(bytes.fromhex(m[0])):
+        if m.start() < done or any(k == "pem" and a <= m.start() < b for k, a, b in spans):
+            continue
+        found = _unarmoured(text, *m.span())
+        if found:
+            spans.append(found)
+            done = found[2]
+    for m in _HEXKEY.finditer(text):
+        data = bytes.fromhex(m[0]) if len(m[0]) % 2 == 0 else b""
+        if is_private_der(data):
             spans.append(("hexder", m.start(), m.end()))
+        elif is_openssh_key(data):
+            spans.append(("hexssh", m.start(), m.end()))
     if len(spans) > 1:
         spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return spans
