@@ -98,9 +98,9 @@ def _distance(p: Column, q: Column) -> Column:
 
 def fit_references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row per language: ``_lang``, ``ref_classes`` and ``ref_words`` (shares, the latter with
-    "other" last) and ``ref_map`` (common word to its mark). All documents count."""
-    base = docs.select(
-        F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("text", F.lit("")).alias("_text")
+    "other" last) and ``ref_map`` (common word to its mark). All documents with a language count."""
+    base = docs.filter("lang is not null").select(
+        F.col("lang").alias("_lang"), F.coalesce("text", F.lit("")).alias("_text")
     )
     counted = _with_classes(base).select(
         "_lang", *[F.col("_classes")[i].alias(n) for i, n in enumerate(CLASSES)]
@@ -182,7 +182,7 @@ def judge(docs: DataFrame, references: DataFrame, rules: Rules = Rules()) -> Dat
     """
     base = docs.select(
         "doc_id",
-        F.coalesce("lang", F.lit("")).alias("_lang"),
+        F.col("lang").alias("_lang"),
         F.coalesce("text", F.lit("")).alias("_text"),
     )
     df = _with_classes(base).join(references, "_lang", "left")
@@ -211,10 +211,12 @@ def judge(docs: DataFrame, references: DataFrame, rules: Rules = Rules()) -> Dat
     bins = F.concat(found, F.array(F.col("n_words") - F.length("_code")))
     chars = F.col("word_chars") + F.col("_classes")[1]
     class_distance = F.when(
-        chars >= rules.min_chars, _distance(_shares(F.col("_classes")), F.col("ref_classes"))
+        (chars >= rules.min_chars) & F.col("ref_classes").isNotNull(),
+        _distance(_shares(F.col("_classes")), F.col("ref_classes"))
     )
     word_distance = F.when(
-        F.col("n_words") >= rules.min_words, _distance(_shares(bins), F.col("ref_words"))
+        (F.col("n_words") >= rules.min_words) & F.col("ref_words").isNotNull(),
+        _distance(_shares(bins), F.col("ref_words"))
     )
     allowance = rules.slack / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
