@@ -11,6 +11,7 @@ bucket are numbered together. A cell that holds a third of all rows has as many
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from creditfeat.llm.common import stage
+from creditfeat.operators.ordering import running_totals
 
 
 @dataclass(frozen=True)
@@ -30,10 +32,13 @@ class Curve:
     accuracy: int = 10_000
 
 
-def text_key(value: Column) -> Column:
-    """The first seven bytes of a text as a number of the same order; null comes first."""
-    head = F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("bigint"), F.lit(-1).cast("bigint"))
+def with_place(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the number of rows whose text in ``column`` isn't greater: a number of the texts' order, however
+    alike they begin, at which quantiles can be cut. Null comes first, as 0."""
+    counts = stage(df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n")), "values")
+    places = running_totals(counts, column, ["_n"]).select(F.col(column).alias("_value"), F.col("cum__n").alias(name))
+    joined = df.join(places, F.col(column) == F.col("_value"), "left").drop("_value")
+    return joined.withColumn(name, F.coalesce(F.col(name).cast("bigint"), F.lit(0).cast("bigint")))
 
 
 def hilbert_index(cells: Column, bits: int, dimensions: int) -> Column:
@@ -116,14 +121,18 @@ def _cell(value: Column, cuts: list[int]) -> Column:
     return F.size(F.filter(known, lambda c: c <= value)).cast("bigint")
 
 
-def hilbert_ranks(df: DataFrame, dimensions: list[str], key: str, curve: Curve = Curve()) -> DataFrame:
+def hilbert_ranks(
+    df: DataFrame, dimensions: list[str], key: str, curve: Curve = Curve(), whole: Sequence[str] = ()
+) -> DataFrame:
     """Adds ``curve_index``, ``rank`` (gapless from 0 over the whole table, along the curve) and
-    ``n_rows``. ``dimensions``: bigint columns; ``key``: orders rows of a cell by its hash. Rows
-    that are equal in all columns get places of their own in any order."""
+    ``n_rows``. ``dimensions``: bigint columns; ``key``: with all columns but ``whole``, orders rows of a
+    cell. Rows that are equal in them get places of their own in any order."""
+    # All columns together, so that rows which share a key don't share a bucket.
+    spread = [key, *[c for c in df.columns if c != key and c not in whole]]
     cut = _cuts(df, dimensions, curve)
     cells = F.array(*[_cell(F.col(d), c) for d, c in zip(dimensions, cut, strict=True)])
     placed = df.withColumn("curve_index", hilbert_index(cells, curve.bits, len(dimensions))).withColumn(
-        "_bucket", F.pmod(F.xxhash64(key), F.lit(curve.buckets))
+        "_bucket", F.pmod(F.xxhash64(*spread), F.lit(curve.buckets))
     )
     placed = stage(placed, "placed")
     counts = placed.groupBy("curve_index", "_bucket").agg(F.count("*").alias("_n"))
@@ -149,7 +158,7 @@ def hilbert_ranks(df: DataFrame, dimensions: list[str], key: str, curve: Curve =
         .select("curve_index", "_bucket", (F.col("_before") + F.col("_before_cell")).alias("_start"), "n_rows")
     )
     own = Window.partitionBy("curve_index", "_bucket").orderBy(
-        *[F.col(c).asc_nulls_first() for c in [key, *[c for c in df.columns if c != key]]]
+        *[F.col(c).asc_nulls_first() for c in spread]
     )
     return (
         placed.withColumn("_place", F.row_number().over(own) - 1)
@@ -167,36 +176,40 @@ def shard_assignment(docs: DataFrame, shards: int = 16, curve: Curve = Curve())
     values like others and come first; repeated rows get slots of their own. Fewer rows than shards
     leave shards empty, an empty table gives an empty result. Further columns are ignored.
     """
+    placed = _assigned(docs, [], shards, curve)
+    return placed.select("doc_id", "size", "text_crc32", "curve_index", "shard", "slot")
+
+
+def _assigned(docs: DataFrame, whole: list[str], shards: int, curve: Curve) -> DataFrame:
+    """The assignment, with the columns ``whole`` carried along as ``_row``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    carried = [F.struct(*[F.col(f"`{c}`") for c in whole]).alias("_row")] if whole else []
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        text_key(F.col("source").cast("string")).alias("_source"),
-        text_key(F.col("lang").cast("string")).alias("_lang"),
+        F.col("source").cast("string").alias("_s"),
+        F.col("lang").cast("string").alias("_l"),
+        *carried,
     )
-    ranked = hilbert_ranks(rows, ["_source", "_lang", "size"], "doc_id", curve)
+    rows = with_place(with_place(rows, "_s", "_source"), "_l", "_lang").drop("_s", "_l")
+    ranked = hilbert_ranks(rows, ["_source", "_lang", "size"], "doc_id", curve, ["_row"])
     shard = F.expr(f"(rank * {shards}) div n_rows")
     first = F.expr(f"(shard * n_rows + {shards - 1}) div {shards}")
-    return (
-        ranked.withColumn("shard", shard.cast("int"))
-        .withColumn("slot", F.col("rank") - first)
-        .select("doc_id", "size", "text_crc32", "curve_index", "shard", "slot")
-    )
+    return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("rank") - first)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, run_rows: int = 100_000, curve: Curve = Curve()) -> None:
     """Write ``docs`` to ``path``, a folder for each shard, cut into files of at most ``run_rows``
-    rows that follow the curve. Needs unique ids; rows without an id get a shard by their place
-    among them."""
-    placed = shard_assignment(docs, shards, curve).select("doc_id", "shard", "slot")
-    placed = placed.withColumn("run", F.expr(f"slot div {run_rows}"))
+    rows that follow the curve. Every row is written once, with its columns as they are: rows without an id
+    and rows that repeat one have places of their own. A column ``shard`` of ``docs`` gives way to the shard."""
+    columns = [c for c in docs.columns if c != "shard"]
+    placed = _assigned(docs, columns, shards, curve).select("shard", "slot", "_row.*")
     (
-        docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
-        .join(placed, "doc_id")
-        .repartition("shard", "run")
+        placed.withColumn("_run", F.expr(f"slot div {run_rows}"))
+        .repartition("shard", "_run")
         .sortWithinPartitions("shard", "slot")
-        .drop("slot", "run")
+        .select("shard", *columns)
         .write.partitionBy("shard")
         .option("maxRecordsPerFile", run_rows)
         .parquet(path)
