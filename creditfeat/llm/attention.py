@@ -141,7 +141,7 @@ def encoded(texts: list[str | None], encoding: Encoding) -> tuple[np.ndarray, np
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_docs: int) -> DataFrame:
-    """doc_id, text and label of at most ``max_docs`` labelled documents, first by hash of the id.
+    """doc_id, text and label of at most ``max_docs`` labelled rows, first by hash of the id, one of each id.
 
     Rows without id or label don't count. Of several labels of an id the smallest holds. The ids
     are at most ``max_docs``, so they are broadcast against the documents.
@@ -153,7 +153,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_docs: in
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_docs)
     )
-    return docs.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label")
+    # An id on many rows gives one text, drawn by hash, so the bound holds for rows too.
+    text = F.struct(F.xxhash64("text").alias("hash"), "text", "label")
+    joined = docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min(text).alias("first"))
+    return joined.select("doc_id", "first.text", "first.label")
 
 
 def train(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> dict[str, np.ndarray]:

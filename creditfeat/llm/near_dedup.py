@@ -374,8 +374,9 @@ def confirmed_links(rows: DataFrame, how: Sketch = Sketch()) -> DataFrame:
     return links.union(stage(met, "forest"))
 
 
-def near_duplicates(docs: DataFrame, how: Sketch = Sketch()) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
+def near_duplicates(docs: DataFrame, how: Sketch = Sketch(), keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text); ``keyed`` adds
+    ``text_key`` and ``node``, hashes of the text and of its set (null without words).
 
     Null and empty texts, and texts of white space, have no shingles, are linked with nothing and
     kept. Rows with a null id bear on nothing and get a null component and kept. Repeated rows get
@@ -402,11 +403,35 @@ def near_duplicates(docs: DataFrame, how: Sketch = Sketch()) -> DataFrame:
     of_node = stage(
         nodes.select("node", F.col("doc_id").alias("_first")).join(linked, "node", "left"), "components"
     )
-    joined = marked.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
+    joined = marked.select("doc_id", "n_shingles", "node", "text_key").join(of_node, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "_first", "doc_id"))
     return joined.select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        *(["text_key", "node"] if keyed else []),
     )
+
+
+def without_near_duplicates(docs: DataFrame, how: Sketch = Sketch()) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that with the smallest id and, of rows that share it,
+    one by hash of the text.
+
+    Rows are told apart by id and text, so where an id has several texts each is judged by itself. Rows without an
+    id are grouped by equal sets. Texts without words are groups of their own, one row for each id."""
+    found = near_duplicates(docs, how, keyed=True)
+    group = [
+        F.col("component_id"),
+        F.when(F.col("component_id").isNull() | F.col("node").isNull(), F.coalesce("node", "text_key")).alias("own"),
+        F.col("node").isNull().alias("empty"),
+    ]
+    first = found.select("doc_id", "text_key", *group).groupBy("component_id", "own", "empty")
+    kept = first.agg(F.min(F.struct("doc_id", "text_key")).alias("row")).select("row.*")
+    named = {"_id": F.coalesce("doc_id", F.lit(0).cast("bigint")), "_null": F.col("doc_id").isNull(), "_text": F.col("text_key")}
+    keys = stage(kept.select(*[c.alias(n) for n, c in named.items()]), "kept")
+    text = F.xxhash64(F.col("text").cast("string"))
+    id_ = F.col("doc_id").cast("bigint")
+    rows = docs.withColumns({"_id": F.coalesce(id_, F.lit(0).cast("bigint")), "_null": id_.isNull(), "_text": text})
+    # Rows that repeat an id and text lie in one partition of the join; one of them stays.
+    return rows.join(keys.hint("merge"), list(named)).dropDuplicates(list(named)).select(docs.columns)
