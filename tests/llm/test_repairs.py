@@ -6,10 +6,11 @@ import json
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from creditfeat.llm import attention, quality_rules, queries, secrets, sharding
+from creditfeat.llm import attention, onebit, quality_rules, queries, secrets, sharding
 from tests.llm.data import documents
 from tests.llm.test_operators import der
 
@@ -117,3 +118,23 @@ def test_sample_bounds_rows(spark):
     docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     assert attention.labelled_sample(docs, labels, "quality", 10).count() == 2
+
+
+def test_recall_on_the_embeddings(spark):
+    """All queries of the whole table against brute force."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    ids = np.array([r.vec_id for r in rows])
+    x = np.array([r.embedding for r in rows], np.float32).astype(float)
+    got = {}
+    for r in onebit.search(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), how=onebit.Codes(block_rows=500, chunk_rows=8)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hits = total = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        score = np.sqrt(np.square(x - x[q]).sum(axis=1))
+        score[q] = np.inf
+        want = ids[np.lexsort((ids, score))[:10]]
+        mine = sorted(got[ids[q]])
+        assert [m[0] for m in mine] == list(range(1, 11))
+        assert [m[2] for m in mine] == pytest.approx([score[ids == m[1]][0] for m in mine])
+        hits, total = hits + len({m[1] for m in mine} & {*want.tolist()}), total + 10
+    assert hits / total >= 0.98
