@@ -86,8 +86,9 @@ class TargetEncoder:
         ]
         everything = [F.count(label).alias("n"), F.sum(label).alias("s"), *by_fold]
         totals = df.agg(*everything).first()
-        prior = totals["s"] / totals["n"]
-        fold_priors = [totals[f"s{f}"] / totals[f"n{f}"] for f in folds]
+        # Without labels, or with none outside a fold, there is no rate to go by but 0 or that of all.
+        prior = totals["s"] / totals["n"] if totals["n"] else 0.0
+        fold_priors = [totals[f"s{f}"] / totals[f"n{f}"] if totals[f"n{f}"] else prior for f in folds]
 
         stats = (
             df.select(F.inline(_category_pairs(columns)), label, *([fold] if fold else []))

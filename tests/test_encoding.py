@@ -115,3 +115,13 @@ def test_label_codes_in_text_order_with_unseen(spark):
     enc = LabelEncoder.fit(df, ["c"])
     new = spark.createDataFrame([("a",), ("b",), ("c",), ("zzz",)], "c string")
     assert [r["c"] for r in enc.transform(new).collect()] == [0, 1, 2, 3]
+
+
+def test_target_encoding_without_rows_or_outside_rows(spark):
+    df = spark.createDataFrame([("a", 1, 0), ("a", 0, 0), ("b", 1, 0)], "c string, y int, fold int")
+    none = TargetEncoder.fit(df.limit(0), ["c"], "y", "fold")
+    assert none.prior == 0.0 and none.fold_priors == [0.0] * 5
+    assert [r.c_target_oof for r in none.transform(df, "oof").collect()] == [0.0] * 3
+    one = TargetEncoder.fit(df, ["c"], "y", "fold")  # nothing lies outside fold 0
+    assert one.fold_priors[0] == one.prior == 2 / 3
+    assert {round(r.c_target_oof, 9) for r in one.transform(df, "oof").collect()} == {round(2 / 3, 9)}
