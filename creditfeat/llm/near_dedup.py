@@ -158,7 +158,8 @@ def _unpacked(column: pa.Array, width: int) -> np.ndarray:
 
 
 def band_keys(nodes: DataFrame, how: Sketch = Sketch()) -> DataFrame:
-    """(key, node), one row for each band; the key is a hash of the band's registers and number."""
+    """(key, node, other, later), one row for each band; the key is a hash of the band's registers and number,
+    ``other`` and ``later`` are the keys of the two bands after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,27 +174,41 @@ def band_keys(nodes: DataFrame, how: Sketch = Sketch()) -> DataFrame:
                 [
                     pa.array(key.view(np.int64).ravel()),
                     pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), how.bands)),
+                    *[pa.array(np.roll(key, -i, axis=1).view(np.int64).ravel()) for i in (1, 2)],
                 ],
-                ["key", "node"],
+                ["key", "node", "other", "later"],
             )
 
-    return nodes.select("node", "registers").mapInArrow(run, "key bigint, node bigint")
+    kind = "key bigint, node bigint, other bigint, later bigint"
+    return nodes.select("node", "registers").mapInArrow(run, kind)
 
 
-def candidate_pairs(bands: DataFrame, how: Sketch = Sketch()) -> DataFrame:
-    """Distinct (a, b), a < b: of every bucket the stars of its smallest and largest node, of small
-    buckets all pairs. The number of pairs grows with the rows, not with their square."""
+def _bucketed(bands: DataFrame) -> DataFrame:
+    """``bands`` with the smallest and largest node and the size of their buckets, without lone nodes."""
     hubs = (
         bands.groupBy("key")
         .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"))
         .filter("size > 1")
     )
-    members = stage(bands.join(hubs, "key"), "buckets")
+    return stage(bands.join(hubs, "key"), "buckets")
+
+
+def _bucket_pairs(members: DataFrame, how: Sketch) -> DataFrame:
     stars = members.select(F.explode(F.array("low", "high")).alias("hub"), "node")
     small = members.filter(F.col("size").between(3, how.small_bucket)).select("key", "node")
     other = small.select("key", F.col("node").alias("hub"))
-    pairs = stars.union(small.join(other, "key").select("hub", "node"))
-    pairs = pairs.filter("hub <> node")
+    return stars.union(small.join(other, "key").select("hub", "node"))
+
+
+def candidate_pairs(bands: DataFrame, how: Sketch = Sketch()) -> DataFrame:
+    """Distinct (a, b), a < b: of every bucket the stars of its smallest and largest node, of small
+    buckets all pairs. Members of larger buckets are dealt once more, by the band together with each of
+    two others, where those that are alike beyond what the whole bucket shares are few. The number of
+    pairs grows with the rows, not with their square."""
+    members = _bucketed(bands)
+    finer = F.array(F.xxhash64("key", "other"), F.xxhash64("key", "later"))
+    large = members.filter(F.col("size") > how.small_bucket).select(F.explode(finer).alias("key"), "node")
+    pairs = _bucket_pairs(members, how).union(_bucket_pairs(_bucketed(large), how)).filter("hub <> node")
     return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
 

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from creditfeat.llm import attention, onebit, quality_rules, queries, secrets, sharding
+from creditfeat.llm import attention, near_dedup, onebit, quality_rules, queries, secrets, sharding
+from creditfeat.llm.components import connected_components
 from tests.llm.data import documents
 from tests.llm.test_operators import der
 
@@ -138,3 +139,26 @@ def test_recall_on_the_embeddings(spark):
         assert [m[2] for m in mine] == pytest.approx([score[ids == m[1]][0] for m in mine])
         hits, total = hits + len({m[1] for m in mine} & {*want.tolist()}), total + 10
     assert hits / total >= 0.98
+
+
+def test_pairs_inside_a_family_with_a_shared_passage(spark):
+    """Texts that share 76 % of their shingles aren't linked; planted pairs among them, near 0.8, come into one cluster."""
+    how = near_dedup.Sketch()
+    make = near_dedup.Registers(how)
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    rows, pairs = [], []
+    for family in range(3):
+        passage = draw(760)
+        for i in range(120):
+            both = draw(136)  # 896 of 1,104 shingles in common: 0.81
+            for j in range(2):
+                node = family * 1000 + 2 * i + j
+                rows.append((node, 1000, make(np.concatenate([passage, both, draw(104)])).tobytes()))
+            pairs.append((node - 1, node))
+    nodes = spark.createDataFrame(rows, "node long, n_shingles long, registers binary")
+    found = near_dedup.candidate_pairs(near_dedup.band_keys(nodes, how), how)
+    candidates = {(r.a, r.b) for r in found.collect()}
+    clusters = {r.node: r.root for r in connected_components(near_dedup.likely_pairs(found, nodes, how)).collect()}
+    assert [p for p in pairs if p[0] not in clusters or clusters[p[0]] != clusters.get(p[1])] == []
+    assert len([p for p in pairs if p in candidates]) >= 0.99 * len(pairs)
