@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from creditfeat.operators import knn
+from creditfeat.operators import neighbour_search as ns
 
 KS = [3, 10]
 SCHEMA = "key long, y int, fold int, x array<double>"
@@ -181,3 +182,30 @@ def test_repeated_keys_keep_the_bound(spark):
     train += [(2, 1, 3, [4.0, 4.0])] * 600  # equal rows
     _, model = fitted(spark, train, "fold", reference_rows=100)
     assert 20 < model.reference.count() < 100 + KS[-1]
+
+
+@pytest.mark.parametrize("dims, far", [(2, 0.0), (40, 0.0), (5, 1e6)])
+def test_search_takes_exact_distances_of_few_rows(dims, far, monkeypatch):
+    """Rows are chosen by bounds in single precision; exact distances are left to those that may be among the k."""
+    rng = np.random.default_rng(dims)
+    points = rng.normal(size=(9000, dims)).round(2) + far
+    points[::3] = points[0]
+    keys = rng.permutation(9000)
+    where = np.sort(rng.integers(0, 20, 9000))
+    starts = np.searchsorted(where, np.arange(21))
+    centres = np.array([points[a:b].mean(0) for a, b in zip(starts, starts[1:], strict=False)])
+    radii = np.array([ns.distances(points[starts[c] : starts[c + 1]], centres[c : c + 1]).max() for c in range(20)]) + far * 1e-6
+    ref = ns.Reference(points, keys, np.ones(9000, int), starts, centres, radii)
+    q = points[rng.permutation(9000)[:70]] + rng.normal(size=(70, dims)).round(1)
+    seen = []
+    exact = ns._merge
+    monkeypatch.setattr(ns, "SPAN", 512)
+    monkeypatch.setattr(ns, "_merge", lambda *a: seen.append(a[2].shape[1]) or exact(*a))
+    dist, near, _ = ns.nearest(q, ref, 50)
+    d = ((points[None] - q[:, None]) ** 2).sum(2).round(9)
+    for i in range(len(q)):
+        order = np.lexsort((keys, d[i]))[:50]
+        assert near[i].tolist() == keys[order].tolist()
+        assert np.allclose(dist[i], d[i][order], atol=1e-9)
+    if dims == 40:
+        assert max(seen) < 3200  # equal vectors tie; of the others hardly more than k
