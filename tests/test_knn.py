@@ -209,3 +209,20 @@ def test_search_takes_exact_distances_of_few_rows(dims, far, monkeypatch):
         assert np.allclose(dist[i], d[i][order], atol=1e-9)
     if dims == 40:
         assert max(seen) < 3200  # equal vectors tie; of the others hardly more than k
+
+
+def test_a_task_holds_one_scaled_copy_of_a_whole_reference():
+    assert 64 * 8 * knn.REFERENCE_ROWS < knn.SCALED_BYTES < 2 * 64 * 8 * knn.REFERENCE_ROWS
+
+
+def test_leak_report_runs_one_search_at_a_time(spark, tmp_path, monkeypatch):
+    from creditfeat.catalog import neighbours
+
+    found = []
+    report = neighbours.quality.leak_report
+    monkeypatch.setattr(neighbours.quality, "leak_report", lambda df, *a: found.append(df) or report(df, *a))
+    made = [(int(i), [float(i % 7), float(i % 5)], int(i % 6)) for i in range(60)]
+    spark.createDataFrame(made, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    neighbours.leak_report_neighbours(spark, str(tmp_path))
+    plan = found[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
