@@ -148,8 +148,8 @@ def assigned(rows: DataFrame, centroids: list[list[int]], how: Clusters) -> Data
 
 
 def centroid_clusters(vectors: DataFrame, how: Clusters = Clusters()) -> DataFrame:
-    """vec_id, ``cluster``, ``distance``, ``cluster_inertia``, ``inertia`` and ``centroid`` (array of
-    long) for every usable row of ``vectors`` (vec_id, embedding).
+    """vec_id, ``cluster``, ``distance``, ``cluster_inertia``, ``inertia`` (both decimals) and ``centroid``
+    (array of long) for every usable row of ``vectors`` (vec_id, embedding).
 
     Vectors that are null, of another length, or hold null or non-finite components take no part and
     give no row. Rows with a null id take part but are no first centroids; repeated rows count as
@@ -167,14 +167,16 @@ def centroid_clusters(vectors: DataFrame, how: Clusters = Clusters()) -> DataFra
     found = assigned(rows, centroids, how)
     each = found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("d")).collect()  # k rows
     inertia = {r["cluster"]: int(r["d"]) for r in each}
-    of_cluster = F.array(*[F.lit(inertia.get(c, 0)).cast("bigint") for c in range(len(centroids))])
+    # Sums of distances may be beyond 64 bits.
+    long = lambda v: F.lit(str(v)).cast("decimal(38,0)")
+    of_cluster = F.array(*[long(inertia.get(c, 0)) for c in range(len(centroids))])
     points = F.array(*[F.array(*[F.lit(v).cast("bigint") for v in c]) for c in centroids])
     return found.select(
         "vec_id",
         "cluster",
         "distance",
         of_cluster[F.col("cluster")].alias("cluster_inertia"),
-        F.lit(sum(inertia.values())).cast("bigint").alias("inertia"),
+        long(sum(inertia.values())).alias("inertia"),
         points[F.col("cluster")].alias("centroid"),
     )
 
