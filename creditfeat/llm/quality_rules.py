@@ -135,9 +135,20 @@ def fit_references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def _repeat_words(words: Column, n: Column) -> Column:
     """Words inside windows of 8 that the text holds twice or more. Windows are sorted by hash,
-    those beside an equal one are marked, and the positions they cover are counted."""
-    starts = F.when(n > WINDOW, F.sequence(F.lit(1), n - (WINDOW - 1)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    those beside an equal one are marked, and the positions they cover are counted. A window's hash
+    is made of those of its halves, so every word is hashed once."""
+
+    def joined(hashes: Column, width: int) -> Column:
+        def halves(h: Column) -> Column:
+            left = F.size(h) - width
+            return F.zip_with(F.slice(h, 1, left), F.slice(h, 1 + width, left), lambda a, b: F.xxhash64(a, b))
+
+        return _let(hashes, halves)
+
+    hashes = F.when(n > WINDOW, F.transform(words, lambda w: F.xxhash64(w)))
+    width = 1
+    while width < WINDOW:
+        hashes, width = joined(hashes, width), 2 * width
 
     def covered(hashes: Column) -> Column:
         pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))

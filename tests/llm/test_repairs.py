@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import random
 import re
 from collections import Counter
 
@@ -162,3 +163,21 @@ def test_pairs_inside_a_family_with_a_shared_passage(spark):
     clusters = {r.node: r.root for r in connected_components(near_dedup.likely_pairs(found, nodes, how)).collect()}
     assert [p for p in pairs if p[0] not in clusters or clusters[p[0]] != clusters.get(p[1])] == []
     assert len([p for p in pairs if p in candidates]) >= 0.99 * len(pairs)
+
+
+def test_windows_are_hashed_by_halves(spark):
+    def brute(words):
+        starts = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        seen = Counter(starts)
+        return len({j for i, w in enumerate(starts) if seen[w] > 1 for j in range(i, i + 8)})
+
+    rng = random.Random(9)
+    lists = [list("abcdefgh"), list("abcdefgh") * 2, ["a"] * 7, ["a"] * 8, ["a"] * 9, ["a"] * 30, [], ["x"]]
+    for n in (9, 16, 17, 40, 200):
+        lists += [[rng.choice("ab") for _ in range(n)] for _ in range(6)]
+        lists.append([f"w{i}" for i in range(n)] + [f"w{i}" for i in range(n // 2)])
+    rows = spark.createDataFrame(list(enumerate(lists)), "i int, words array<string>")
+    found = rows.select("i", quality_rules._repeat_words(F.col("words"), F.size("words")).alias("n"))
+    assert {r.i: r.n for r in found.collect()} == {i: brute(w) for i, w in enumerate(lists)}
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert ", 8)" not in plan  # no window is cut out word by word
