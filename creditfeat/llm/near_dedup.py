@@ -5,7 +5,8 @@
 2. Bands of registers put similar documents into one bucket. Buckets are linked as stars from two
    members, small ones completely; the links are candidates only.
 3. The Jaccard similarity of candidates is estimated from their registers and set sizes by maximum
-   likelihood; the plausible ones form clusters.
+   likelihood; the plausible ones form clusters. In buckets that no cluster holds whole, all members
+   outside the largest cluster are then compared with all members, in blocks.
 4. Inside clusters, similarities are confirmed on full shingle sets, likelier pairs first, and pairs
    that are connected already are passed over. Only a spanning forest of links leaves a task.
 
@@ -40,8 +41,8 @@ class Sketch:
     """``words``: of a shingle; ``percent``: least Jaccard similarity of linked documents;
     ``bands`` of ``rows`` registers each. 25 bands of 5 miss a pair at 0.8 once in 20,000 times.
     ``base``, ``rate``: of the registers. ``small_bucket``: buckets up to this size are compared
-    completely. ``likely``: least estimate of a candidate, 4 standard errors below 0.8.
-    ``chunk_rows``: documents that a task compares at once."""
+    completely from the start. ``likely``: least estimate of a candidate, 4 standard errors below 0.8.
+    ``chunk_rows``: documents that a task compares at once; ``block_rows``: sketches of a large bucket."""
 
     words: int = 4
     percent: int = 80
@@ -52,6 +53,7 @@ class Sketch:
     small_bucket: int = 12
     likely: float = 0.66
     chunk_rows: int = 512
+    block_rows: int = 2048
     seed: int = 3
 
     @property
@@ -204,8 +206,11 @@ def candidate_pairs(bands: DataFrame, how: Sketch = Sketch()) -> DataFrame:
     """Distinct (a, b), a < b: of every bucket the stars of its smallest and largest node, of small
     buckets all pairs. Members of larger buckets are dealt once more, by the band together with each of
     two others, where those that are alike beyond what the whole bucket shares are few. The number of
-    pairs grows with the rows, not with their square."""
-    members = _bucketed(bands)
+    pairs grows with the rows, not with their square; ``missed_links`` has the rest."""
+    return _candidates(_bucketed(bands), how)
+
+
+def _candidates(members: DataFrame, how: Sketch) -> DataFrame:
     finer = F.array(F.xxhash64("key", "other"), F.xxhash64("key", "later"))
     large = members.filter(F.col("size") > how.small_bucket).select(F.explode(finer).alias("key"), "node")
     pairs = _bucket_pairs(members, how).union(_bucket_pairs(_bucketed(large), how)).filter("hub <> node")
@@ -260,6 +265,87 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame, how: Sketch = Sketch()) ->
     return columns.mapInArrow(run, "a bigint, b bigint")
 
 
+def missed_links(members: DataFrame, nodes: DataFrame, clusters: DataFrame, how: Sketch = Sketch()) -> DataFrame:
+    """Links (a, b) between the roots of clusters (node, root), so that no two members of a large bucket are apart whose
+    registers agree as ``forest`` asks. Members of a bucket's largest cluster are together already, so
+    only the others are compared with all members. A task sets one block of them against another and
+    returns a spanning forest of what it links."""
+    large = members.filter(F.col("size") > how.small_bucket).select("key", "node").join(clusters, "node", "left")
+    large = stage(large.withColumn("root", F.coalesce("root", "node")), "large-buckets")
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in range(2)]
+    per_root = large.groupBy("key", "root").agg(F.count("*").alias("n"), *marks)
+    per_key = per_root.groupBy("key").agg(
+        F.max(F.struct("n", "root")).alias("most"),
+        F.sum("n").alias("all"),
+        *[F.bit_xor(f"mark{i}").alias(f"mark{i}") for i in range(2)],
+    )
+    # Bands often hold the same members; one of such buckets is enough.
+    blocks = lambda n: F.ceil(n / how.block_rows).cast("int")
+    opened = per_key.filter(F.col("all") > F.col("most.n")).groupBy("mark0", "mark1", "all").agg(
+        F.min(F.struct("key", "most")).alias("of")
+    ).select(
+        "of.key",
+        F.col("of.most.root").alias("largest"),
+        blocks(F.col("all") - F.col("of.most.n")).alias("parts"),
+        blocks(F.col("all")).alias("chunks"),
+    )
+    rows = large.join(stage(opened, "open-buckets"), "key").withColumn("apart", F.col("root") != F.col("largest"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int")
+    columns = ["key", "node", "root", "apart"]
+    left = rows.filter("apart").select(*columns, F.lit(True).alias("left"), own("parts").alias("part"), every("chunks").alias("chunk"))
+    right = rows.select(*columns, F.lit(False).alias("left"), own("chunks").alias("chunk"), every("parts").alias("part"))
+    met = left.unionByName(right).join(nodes.select("node", "n_shingles", "registers"), "node")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        is_left = pdf["left"].to_numpy()
+        few, block = pdf[is_left], pdf[~is_left]
+        mine, theirs = (np.frombuffer(b"".join(x["registers"]), np.uint16).reshape(-1, how.registers) for x in (few, block))
+        by_register = np.ascontiguousarray(theirs.T)
+        nodes, sizes, apart = (block[c].to_numpy() for c in ("node", "n_shingles", "apart"))
+        names, at = np.unique(np.concatenate([few["root"], block["root"]]), return_inverse=True)
+        own, at, parent = at[: len(few)], at[len(few) :], np.arange(len(names))
+
+        def root(g: int) -> int:
+            while parent[g] != g:
+                parent[g] = parent[parent[g]]
+                g = parent[g]
+            return g
+
+        links = []
+        for first in range(0, len(few), 64):
+            part = slice(first, first + 64)
+            node, size, r = few["node"].to_numpy()[part, None], few["n_shingles"].to_numpy()[part, None], own[part]
+            same = np.zeros((len(r), len(block)), np.uint16)
+            for k in range(how.registers):
+                same += by_register[k] == mine[part, k, None]
+            # Two members apart meet twice, once in each order.
+            ok = (same >= how.likely * how.registers) & (at != r[:, None]) & (~apart | (nodes > node))
+            ok &= 100 * np.minimum(sizes, size) >= how.percent * np.maximum(sizes, size)
+            i, j = np.nonzero(ok)
+            for g, h in np.unique(np.stack([r[i], at[j]], axis=1), axis=0).tolist():
+                a, b = root(g), root(h)
+                if a != b:
+                    parent[a] = b
+                    links.append((int(names[g]), int(names[h])))
+        return _frame(links)
+
+    return met.groupBy("key", "part", "chunk").applyInPandas(run, "a bigint, b bigint")
+
+
+def similar_clusters(nodes: DataFrame, how: Sketch = Sketch()) -> DataFrame:
+    """(node, root) of the nodes that candidates with a likely similarity connect."""
+    members = _bucketed(stage(band_keys(nodes, how), "bands"))
+    clusters = connected_components(likely_pairs(_candidates(members, how), nodes, how))
+    missed = stage(missed_links(members, nodes, clusters, how), "missed")
+    if missed.isEmpty():
+        return clusters
+    moved = stage(connected_components(missed), "moved")  # a node of no cluster is its own root
+    to = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    merged = clusters.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return merged.union(moved).distinct()
+
+
 def _with_sets(docs: DataFrame, members: DataFrame, how: Sketch) -> DataFrame:
     """(cluster, node, registers, shingles) of the members, read from the documents that stand for
     them. ``members``: cluster, node, doc_id, text_key."""
@@ -405,9 +491,7 @@ def near_duplicates(docs: DataFrame, how: Sketch = Sketch(), keyed: bool = False
         ).select("node", "first.*"),
         "nodes",
     )
-    pairs = candidate_pairs(stage(band_keys(nodes, how), "bands"), how)
-    clusters = connected_components(likely_pairs(pairs, nodes, how))
-    members = nodes.join(clusters, "node").select(
+    members = nodes.join(similar_clusters(nodes, how), "node").select(
         F.col("root").alias("cluster"), "node", "doc_id", "text_key"
     )
     links = confirmed_links(_with_sets(docs, stage(members, "members"), how), how)

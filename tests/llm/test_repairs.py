@@ -165,6 +165,26 @@ def test_pairs_inside_a_family_with_a_shared_passage(spark):
     assert len([p for p in pairs if p in candidates]) >= 0.99 * len(pairs)
 
 
+def test_similar_members_of_large_buckets_meet(spark):
+    """Pairs that share one band only, whose bucket's smallest and largest member are like neither of the two."""
+    how = near_dedup.Sketch(block_rows=16)
+    rng = np.random.default_rng(4)
+    sketches = rng.integers(20_000, 60_000, (90, how.bands, how.rows)).astype(np.uint16)
+    sketches[:, 0] = sketches[0, 0]
+    chain = [(i, i + 1) for i in range(10, 19)]
+    pairs = [*chain, *[(i, 90 - i) for i in range(20, 40)]]
+    for i, j in pairs:
+        sketches[j] = sketches[i]
+        sketches[j, 1:, j % how.rows] += np.uint16(1 + j)  # 101 of 125 registers stay
+    rows = [(i, 1000, sketches[i].tobytes()) for i in range(90)]
+    nodes = spark.createDataFrame(rows, "node long, n_shingles long, registers binary")
+    found = near_dedup.candidate_pairs(near_dedup.band_keys(nodes, how), how)
+    assert not {(r.a, r.b) for r in found.collect()} & set(pairs)
+    got = {r.node: r.root for r in near_dedup.similar_clusters(nodes, how).collect()}
+    want = {j: 10 for j in range(10, 20)} | {j: i for i, j in pairs[9:]} | {i: i for i, _ in pairs[9:]}
+    assert got == want
+
+
 def test_windows_are_hashed_by_halves(spark):
     def brute(words):
         starts = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
