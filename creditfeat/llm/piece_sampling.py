@@ -27,10 +27,11 @@ from creditfeat.llm.common import ship_package, worker_state
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
-CACHE_UNITS = 160_000
+CACHE_UNITS = 100_000
 SEEN_UNITS = 400_000
-CHUNK_UNITS = 200_000
-BUILD_UNITS = 30_000  # lattices built at once
+SEEN_BITS = 22  # of a unit's hash, by which units that came before are known
+CHUNK_UNITS = 100_000
+BUILD_UNITS = 10_000  # lattices built at once
 LIST_ROWS = 1_000  # rows that are Python objects at once
 _LONG_UNIT = 48
 # A word with the blanks before it; blanks, line ends and the mark itself where they stand alone.
@@ -95,7 +96,8 @@ class Lattices(dict):
         self.longest = max((len(t) for t in self.weights), default=1)
         self.byte_ids = vocabulary.byte_ids
         self.fallback = (vocabulary.size + how.offset) ** -how.power
-        self.seen: set[str] = set()
+        # One byte for each hash instead of the units; where hashes clash, a unit is kept when it comes first.
+        self.seen, self.n_seen = bytearray(1 << SEEN_BITS), 0
         self.tables = []
         self.filter = np.zeros(1 << 20, bool)  # of the upper bits of all pieces' hashes
         for n in range(1, self.longest + 1):
@@ -115,8 +117,8 @@ class Lattices(dict):
         among these. Units that come a second time are kept; most come once."""
         if len(self) > CACHE_UNITS:
             self.clear()
-        if len(self.seen) > SEEN_UNITS:
-            self.seen.clear()
+        if self.n_seen > SEEN_UNITS:
+            self.seen, self.n_seen = bytearray(1 << SEEN_BITS), 0
         packed, first, short, later = [], [], [], []
         for k, unit in enumerate(units):
             known = self.get(unit)
@@ -142,10 +144,13 @@ class Lattices(dict):
             parts.append((lengths, counts, edges, shares))
             starts = np.cumsum(lengths) - lengths
             for k, unit in enumerate(some):
-                if unit in self.seen:
+                spot = hash(unit) & (1 << SEEN_BITS) - 1
+                if self.seen[spot]:
                     a, b, c, n = bounds[k], bounds[k + 1], int(starts[k]), int(lengths[k])
                     self[unit] = (n, counts[c : c + n].tobytes(), edges[a:b].tobytes(), shares[a:b].tobytes())
-            self.seen.update(some)
+                else:
+                    self.seen[spot] = 1
+                    self.n_seen += 1
         where = np.empty(len(units), np.int64)
         where[np.array(first + later, np.int64)] = np.arange(len(units))
         return (*(np.concatenate(c) for c in zip(*parts, strict=True)), where)

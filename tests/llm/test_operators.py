@@ -353,6 +353,28 @@ def test_lattices_built_at_once_equal_single_ones():
             assert np.allclose(shares[a:b], np.frombuffer(s), atol=1e-7)
 
 
+def test_units_seen_once_are_not_kept(monkeypatch):
+    """What remains of units that came once is bounded, and what is kept changes no draw."""
+    import tracemalloc
+
+    vocabulary = piece_sampling.Vocabulary((("▁", 0, 0.0), ("a", 1, 1.0), ("1", 2, 5.0)), tuple(range(10, 266)), 266)
+    lattices = piece_sampling.Lattices(vocabulary, piece_sampling.Sampling())
+    lattices.load(["a"])
+    tracemalloc.start()
+    try:
+        for start in range(0, 100_000, 20_000):
+            lattices.load([f" {i:06}" for i in range(start, start + 20_000)])
+        assert tracemalloc.get_traced_memory()[0] < 4_000_000
+    finally:
+        tracemalloc.stop()
+    texts = [" ".join(f"a{i % 7}1a" for i in range(k, k + 30)) for k in range(40)]
+    want = [p.tolist() for p, _ in piece_sampling.Sampler(vocabulary).chunks(range(40), texts)]
+    monkeypatch.setattr(piece_sampling, "CACHE_UNITS", 2)
+    monkeypatch.setattr(piece_sampling, "SEEN_UNITS", 3)
+    monkeypatch.setattr(piece_sampling, "SEEN_BITS", 1)
+    assert want == [p.tolist() for p, _ in piece_sampling.Sampler(vocabulary).chunks(range(40), texts)]
+
+
 def test_one_bit_codes(spark):
     rng = np.random.default_rng(5)
     vectors = [(i, rng.standard_normal(24).tolist()) for i in range(400)]
