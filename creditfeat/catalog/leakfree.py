@@ -11,7 +11,7 @@ from creditfeat.catalog.encoding import _PRIORS, _te_sql, _woe_lookup, _woe_sql
 from creditfeat.catalog.fixtures import applicants, applicants_sql, folds_sql, raw_sources, split_sql
 from creditfeat.catalog.preparing import _ALL_SQL, _RATIO_SQL
 from creditfeat.operators import profile, quality
-from creditfeat.operators.folds import with_split
+from creditfeat.operators.folds import with_folds, with_split
 from creditfeat.plans.features import FeatureFit
 from creditfeat.plans.preparation import clean_sources, merge_sources
 from creditfeat.staging import stage
@@ -63,10 +63,23 @@ def _selected(df: DataFrame, *first: str) -> DataFrame:
 
 def _fitted(spark: SparkSession, sf_dir: str) -> tuple[FeatureFit, DataFrame, DataFrame]:
     """The graph without neighbour rates, the training rows with their features, and the held-out rows."""
-    merged = stage(merge_sources(clean_sources(raw_sources(spark, sf_dir))), "merged")
-    parted = stage(with_split(merged, KEY, LABEL), "parted")
-    fitted, train = FeatureFit.fit(parted.where("split = 'train'").drop("split"), ks=())
-    return fitted, train, parted.where("split = 'test'")
+    sources = clean_sources(raw_sources(spark, sf_dir))
+    # Split and folds go by key and label alone, so the narrow anchor gets them and the wide rows don't move.
+    sources["application_metadata"] = _parted(sources["application_metadata"])
+    merged = stage(merge_sources(sources), "merged")
+    train, test = merged.where("split = 'train'").drop("split"), merged.where("split = 'test'").drop("fold")
+    fitted, train = FeatureFit.fit(train, ks=(), has_folds=True)
+    return fitted, train, test
+
+
+def _parted(anchor: DataFrame) -> DataFrame:
+    """The anchor with its split, and the folds of the training rows (else null). Folds are those of the rows
+    as the features see them, where nulls are filled."""
+    parted = stage(with_split(anchor, KEY, LABEL), "parted")
+    train = parted.where("split = 'train'")
+    own = train.select(*parted.columns, *[F.col(c).alias(f"_{c}") for c in (KEY, LABEL)]).na.fill(0, [f"_{KEY}", f"_{LABEL}"])
+    folded = with_folds(own, f"_{KEY}", f"_{LABEL}").select(*parted.columns, "fold")
+    return folded.unionByName(parted.where("split = 'test'"), allowMissingColumns=True)
 
 
 @CATALOG.query(

@@ -54,6 +54,25 @@ def test_large_tables_are_joined_instead_of_broadcast(spark, monkeypatch):
     assert pick(small) == pick(large)
 
 
+def test_one_large_column_moves_no_rows_for_small_ones(spark, monkeypatch):
+    """The column with many categories is joined; a column with few stays a broadcast."""
+    df = spark.createDataFrame([(i, "abc"[i % 3], f"z{i % 50:02}", None) for i in range(100)], "id int, c string, zip string, no string")
+    want = sorted((i, i % 3, i % 50, 0) for i in range(100))
+    for limit, few in ((10, {"c"}), (1000, {"c", "zip"}), (1, set())):
+        monkeypatch.setattr("creditfeat.staging.settle_columns.__defaults__", (limit,))
+        enc = LabelEncoder.fit(df, ["c", "zip", "no"])
+        assert enc.few == few and enc.sizes == {"c": 3, "zip": 50, "no": 0}
+        assert sorted(map(tuple, enc.transform(df).collect())) == want
+        assert enc.table.count() == 53
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        monkeypatch.setattr("creditfeat.staging.settle_columns.__defaults__", (10,))
+        plan = LabelEncoder.fit(df, ["c", "zip"]).transform(df)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def woe_brute(train, value):
     x = np.array([t[4] for t in train])
     y = np.array([t[1] for t in train])

@@ -7,6 +7,24 @@ from pyspark.sql import functions as F
 from creditfeat.operators import joins, ordering, profile, quality
 
 
+def test_split_and_folds_of_the_anchor(spark):
+    """As with the wide rows: the split by key and label, the folds of the training rows after nulls are filled."""
+    from creditfeat.catalog.leakfree import _parted
+    from creditfeat.operators.folds import with_folds, with_split
+
+    rows = [(i, None if i % 11 == 0 else i % 2, f"A{i}") for i in range(1, 300)]
+    df = spark.createDataFrame(rows, "customer_ref long, default int, application_id string")
+    parted = with_split(df, "customer_ref", "default")
+    train = with_folds(parted.where("split = 'train'").na.fill(0), "customer_ref", "default")
+    want = {r.customer_ref: r.fold for r in train.collect()}
+    got = _parted(df)
+    assert got.columns == [*df.columns, "split", "fold"]
+    found = got.collect()
+    assert len(found) == 299 and {r.customer_ref: r.default for r in found} == {k: y for k, y, _ in rows}
+    assert {r.customer_ref: r.fold for r in found if r.split == "train"} == want
+    assert all(r.fold is None for r in found if r.split == "test")
+
+
 def test_percentile_rank_of_seen_and_unseen_values(spark, monkeypatch):
     rng = np.random.default_rng(1)
     train = rng.integers(0, 40, 300).astype(float)
