@@ -13,11 +13,16 @@ class, so the weight is fitted by expectation maximisation on class bigrams alon
 learned from most training rows, the weight from the others (drawn by hash), then transitions are
 counted over all of them.
 
-The units that exchange moves are the most frequent words and, for all other words, groups of
-words with the same ending. So every word has a class, and the table of unit bigrams that one task
-clusters is bounded by the number of units, whatever the corpus. Word counts aren't bounded, so they
-are never gathered: documents are dealt into blocks of bounded text, counts are exchanged by (block,
-word), and a block is scored beside the counts of its own words only.
+Exchange begins with units: the most frequent words, and groups of all other words by their ending.
+One task clusters the table of unit bigrams, which is bounded by the number of units. Then every other
+word leaves its group: the classes before and after its occurrences are brought together, and it moves,
+by the same criterion and for itself, to the class that raises the likelihood most. All words move at once
+in one such round, against the classes of the units, as in distributed exchange clustering. Words that
+don't occur in training stay with their unit.
+
+Word counts aren't bounded, so they are never gathered: documents are dealt into blocks of bounded text,
+what a block knows of a word goes to the word and its count and class come back to the block. A block's
+texts become classes, from which transitions are counted and scores are made.
 """
 
 from __future__ import annotations
@@ -31,10 +36,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from creditfeat.llm.common import fold_of, pick, ship_package, stage
 
@@ -43,8 +48,8 @@ END = ""  # no word is empty
 
 @dataclass(frozen=True)
 class Brown:
-    """``top_words``: words that exchange moves one by one; ``endings``: units of other words;
-    ``classes``; ``sweeps``: passes of exchange over the units at most; ``apart``: one of so many
+    """``top_words``: words that are units; ``endings``: units of other words;
+    ``classes``: 127 at most; ``sweeps``: passes of exchange over the units at most; ``apart``: one of so many
     training rows, drawn by hash, is kept from the exchange and fits the weight of the class model;
     ``smooth``: added to class transitions; ``block_bytes``: text of a block."""
 
@@ -124,11 +129,40 @@ def exchange(counts: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     return of
 
 
-def _ending(how: Brown) -> Column:
-    """The ending's number of a word, as ``_Units`` has it."""
-    code = F.encode("word", "UTF-8")
-    start = F.greatest(F.octet_length("word") - 1, F.lit(1))
-    return (F.crc32(F.substring(code, start, 2)) % how.endings).cast("int")
+def best_classes(table: np.ndarray, of: np.ndarray, before: np.ndarray, after: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The class that each word moves to, as in ``exchange``, when all others stay. ``table``: class bigrams,
+    with the words in their classes ``of``; ``before`` and ``after``: bigrams of the words (rows) with other
+    words by class; ``own``: of a word with itself."""
+    at, gain = np.arange(len(of)), np.zeros(after.shape)
+    for cells, here, there in ((table.T, after, before), (table, before, after)):
+        word, other = np.nonzero(here)
+        if not len(word):
+            continue
+        n, place = here[word, other].astype(float), np.arange(len(word))
+        # What bigrams of each class with the ``other`` one are without the word.
+        cell = cells[other].astype(float)
+        cell[place, of[word]] -= n
+        same = np.flatnonzero(other == of[word])
+        cell[same] -= there[word[same]]
+        np.maximum(cell, 0, out=cell)
+        more = _gain(cell + n[:, None]) - _gain(cell)
+        more[place, other] = 0  # the diagonal, below
+        starts = np.flatnonzero(np.diff(word, prepend=-1))
+        gain[word[starts]] += np.add.reduceat(more, starts)
+    inner = (before + after + own[:, None]).astype(float)
+    word, to = np.nonzero(inner)
+    n, held = inner[word, to], np.diag(table)[to].astype(float)
+    held -= np.where(to == of[word], n, 0)
+    gain[word, to] += _gain(held + n) - _gain(held)
+    for totals, side in ((table.sum(axis=1), after), (table.sum(axis=0), before)):
+        sizes, which = np.unique(side.sum(axis=1) + own, return_inverse=True)
+        less = _gain(totals + sizes[:, None].astype(float)) - _gain(totals.astype(float))
+        less = less[which]
+        less[at, of] = _gain(totals[of].astype(float)) - _gain(totals[of] - sizes[which].astype(float))
+        gain -= less
+    gain[:, 0] = -np.inf
+    best = gain.argmax(axis=1)
+    return np.where(gain[at, best] > gain[at, of] + 1e-9, best, of)
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -137,8 +171,8 @@ def _words(text: bytes | None) -> list[bytes]:
 
 
 def blocked(docs: DataFrame, how: Brown) -> DataFrame:
-    """(block, doc_id, text, train): runs of rows of one task with at most ``block_bytes`` of text or
-    one row, staged."""
+    """(block, doc_id, text, train, apart): runs of rows of one task with at most ``block_bytes`` of text or
+    one row, staged. ``apart``: a training row that the weight is fitted on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = TaskContext.get().partitionId() << 32, 0
@@ -155,52 +189,171 @@ def blocked(docs: DataFrame, how: Brown) -> DataFrame:
             )
 
     rows = pick(docs, doc_id="bigint", text="string").withColumn("train", fold_of(F.col("doc_id")) != 1)
-    kind = "block bigint, doc_id bigint, text string, train boolean"
+    apart = F.pmod(F.xxhash64("doc_id", F.lit("apart")), F.lit(how.apart)) == 0
+    rows = rows.withColumn("apart", F.col("train") & apart)
+    kind = "block bigint, doc_id bigint, text string, train boolean, apart boolean"
     return stage(rows.mapInArrow(run, kind), "blocks")
 
 
-def block_words(docs: DataFrame) -> DataFrame:
-    """(block, word, n) of every word of a block and of the end; ``n`` counts training rows only."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of the words of training rows, without the end."""
 
-    def emit(block: int, counts: Counter) -> Iterator[pa.RecordBatch]:
+    def emit(counts: Counter) -> Iterator[pa.RecordBatch]:
         words, n = list(counts), list(counts.values())
         for at in range(0, len(words), 200_000):
             part = pa.array(words[at : at + 200_000], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(part), pa.int64()), part, pa.array(n[at : at + 200_000], pa.int64())],
-                ["block", "word", "n"],
-            )
+            yield pa.RecordBatch.from_arrays([part, pa.array(n[at : at + 200_000], pa.int64())], ["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, counts = None, Counter()
+        counts: Counter = Counter()
         for batch in batches:
-            rows = zip(
-                batch.column(0).to_pylist(),
-                batch.column(1).cast(pa.binary()).to_pylist(),
-                batch.column(2).to_pylist(),
-                strict=True,
-            )
-            for block, text, train in rows:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                counts.update(_words(text))
+            if len(counts) > 500_000:
+                yield from emit(counts)
+                counts = Counter()
+        yield from emit(counts)
+
+    counted = docs.filter("train").select("text").mapInArrow(run, "word string, n bigint")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class _Vocabulary(dict):
+    """Word to number, in the order of first sight; 0 is the end."""
+
+    def __init__(self) -> None:
+        super().__init__({b"": 0})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def _bytes_array(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Bytes cut into cells of the given sizes."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def block_words(docs: DataFrame, top: list[str], of: np.ndarray, how: Brown) -> DataFrame:
+    """(block, word, n, beside) of every word of a block and of the end. ``n`` counts training rows only;
+    ``beside``: of words that are no units, a byte for each word beside them in rows that classes are
+    learned from: its class if it comes before, with ``classes`` added if it comes after, twice
+    ``classes`` if it is the word itself."""
+    width = 2 * how.classes + 1
+
+    def emit(block: int, units: _Units, words: _Vocabulary, train: list, learned: list) -> Iterator[pa.RecordBatch]:
+        unit = np.array([0, *(units[w] for w in list(words)[1:])], np.int64)
+        group, tail = of[unit], unit >= units.first
+        none = np.zeros(0, np.int64)
+        n = np.bincount(np.concatenate([none, *(ids[1:] for ids in train)]), minlength=len(words))
+        one = np.concatenate([none, *(ids[:-1] for ids in learned)])
+        two = np.concatenate([none, *(ids[1:] for ids in learned)])
+        twice = one == two
+        a, b = tail[one] & ~twice, tail[two] & ~twice
+        found = [one[a] * width + how.classes + group[two[a]], two[b] * width + group[one[b]]]
+        found.append(one[tail[one] & twice] * width + 2 * how.classes)
+        del one, two, twice, a, b
+        found = np.concatenate(found)
+        found.sort()
+        sizes = np.bincount(found // width, minlength=len(words))
+        found %= width
+        beside = _bytes_array(found.astype(np.uint8), sizes)
+        del found
+        names = pa.array(list(words), pa.binary()).cast(pa.string())
+        for at in range(0, len(names), 200_000):
+            part = slice(at, min(at + 200_000, len(names)))
+            columns = [pa.array(np.full(part.stop - at, block)), names[part], pa.array(n[part]), beside[part]]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "word", "n", "beside"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = _Units(top, how.endings)
+        now, words, train, learned = None, _Vocabulary(), [], []
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            rest = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            for text, block, is_train, apart in zip(texts, *rest, strict=True):
                 if block != now:
-                    if counts:
-                        yield from emit(now, counts)
-                    now, counts = block, Counter()
-                words = _words(text)
-                if train:
-                    counts.update(words)
-                    counts[b""] += 1
-                else:
-                    for w in {*words, b""}:
-                        counts[w] += 0
-        if counts:
-            yield from emit(now, counts)
+                    if now is not None:
+                        yield from emit(now, units, words, train, learned)
+                    now, words, train, learned = block, _Vocabulary(), [], []
+                found = _words(text)
+                ids = np.zeros(len(found) + 2, np.int32)
+                ids[1:-1] = np.fromiter(map(words.__getitem__, found), np.int32, len(found))
+                if is_train:
+                    train.append(ids)
+                    if not apart:
+                        learned.append(ids)
+        if now is not None:
+            yield from emit(now, units, words, train, learned)
+
+    kind = "block bigint, word string, n bigint, beside binary"
+    return docs.select("block", "text", "train", "apart").mapInArrow(run, kind)
+
+
+def placed_words(words: DataFrame, top: list[str], of: np.ndarray, table: np.ndarray, how: Brown) -> DataFrame:
+    """``words`` of ``block_words`` with their count in all blocks and their class, packed by block: (block,
+    words, totals, classes, types, tokens). ``types``, ``tokens``: distinct words of training by class and their
+    tokens, each word in one row only. ``table``: class bigrams that the units' classes ``of`` give."""
+    width = 2 * how.classes + 1
+
+    def pack(rows: pa.RecordBatch, units: _Units) -> pa.RecordBatch:
+        word = rows.column("word").cast(pa.binary())
+        fresh = np.ones(len(rows), bool)
+        fresh[1:] = pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)
+        starts, run = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        names = word.take(pa.array(starts)).to_pylist()
+        total = np.add.reduceat(rows.column("n").to_numpy(), starts)
+        group = of[np.array([units[w] if w else 0 for w in names], np.int64)]
+        beside = rows.column("beside")
+        owner = np.repeat(run, pc.binary_length(beside).to_numpy())
+        cell = np.frombuffer(b"".join(beside.to_pylist()), np.uint8)
+        bounds = np.searchsorted(owner, np.arange(len(names) + 1))  # rows are sorted by word
+        moving = np.flatnonzero(np.diff(bounds))
+        for at in range(0, len(moving), 2048):
+            some = moving[at : at + 2048]
+            part = slice(bounds[some[0]], bounds[some[-1] + 1])
+            code = np.searchsorted(some, owner[part]) * width + cell[part]
+            counts = np.bincount(code, minlength=len(some) * width).reshape(-1, width)
+            before, after = counts[:, : how.classes], counts[:, how.classes : -1]
+            group[some] = best_classes(table, group[some], before, after, counts[:, -1])
+        block = rows.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        made = []
+        for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+            mine = run[part]
+            texts = b"\n".join([names[i] for i in mine.tolist()])  # no word has a line feed
+            made.append((block[part[0]], texts, total[mine].tobytes(), group[mine].astype(np.uint8).tobytes(), None, 0))
+        types = np.bincount(group[total > 0], minlength=how.classes).tolist()
+        made[0] = (*made[0][:4], types, int(total.sum()))
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
+        columns = [pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["block", "words", "totals", "classes", "types", "tokens"])
 
-    return docs.select("block", "text", "train").mapInArrow(run, "block bigint, word string, n bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = _Units(top, how.endings)
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) < 300_000:
+                continue
+            rows = pa.concat_batches(held)
+            word = rows.column("word")
+            # The rows of the last word may not have ended: it has a row for each block.
+            last = len(rows) - int(pc.sum(pc.equal(word, word[-1])).as_py())
+            if last:
+                yield pack(rows.slice(0, last), units)
+            held = [rows.slice(last)]
+        if held and sum(map(len, held)):
+            yield pack(pa.concat_batches(held), units)
+
+    kind = "block bigint, words binary, totals binary, classes binary, types array<bigint>, tokens bigint"
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, kind)
 
 
 def unit_bigrams(docs: DataFrame, top: list[str], how: Brown) -> DataFrame:
-    """(pair, n, apart): summed counts of unit bigrams in training rows, pair = first * units +
-    second; ``apart``: in the rows that the weight is fitted on."""
+    """(pair, n): summed counts of unit bigrams in the rows that classes are learned from, pair = first *
+    units + second."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = _Units(top, how.endings)
@@ -209,15 +362,14 @@ def unit_bigrams(docs: DataFrame, top: list[str], how: Brown) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             both, n = np.unique(np.concatenate(held), return_counts=True)
-            columns = [pa.array(both >> 1), pa.array(n.astype(np.int64)), pa.array(np.where(both & 1, n, 0))]
-            return pa.RecordBatch.from_arrays(columns, ["pair", "n", "apart"])
+            return pa.RecordBatch.from_arrays([pa.array(both), pa.array(n.astype(np.int64))], ["pair", "n"])
 
         for batch in batches:
-            for text, apart in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
-                words = _words(text.as_py())
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                words = _words(text)
                 ids = np.zeros(len(words) + 2, np.int64)
                 ids[1:-1] = np.fromiter(map(units.__getitem__, words), np.int64, len(words))
-                held.append((ids[:-1] * units.size + ids[1:]) * 2 + apart)
+                held.append(ids[:-1] * units.size + ids[1:])
                 size += len(ids)
                 if size >= 2_000_000:
                     yield flush()
@@ -225,10 +377,8 @@ def unit_bigrams(docs: DataFrame, top: list[str], how: Brown) -> DataFrame:
         if held:
             yield flush()
 
-    apart = F.pmod(F.xxhash64("doc_id", F.lit("apart")), F.lit(how.apart)) == 0
-    rows = docs.filter("train").select("text", apart.cast("int").alias("apart"))
-    counted = rows.mapInArrow(run, "pair bigint, n bigint, apart bigint")
-    return counted.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("apart").alias("apart"))
+    counted = docs.filter("train and not apart").select("text").mapInArrow(run, "pair bigint, n bigint")
+    return counted.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def _transitions(table: np.ndarray, smooth: float) -> np.ndarray:
@@ -249,37 +399,58 @@ def fit_weight(counts: np.ndarray, ratio: np.ndarray, rounds: int = 200) -> floa
     return min(weight, 0.999)
 
 
-def fit_classes(bigrams: DataFrame, units: int, types: np.ndarray, how: Brown) -> dict[str, np.ndarray]:
-    """``of`` (class of each unit), ``ratio`` (of a class bigram: transition times what emission has
-    over the unigram) and ``weight``. ``types``: distinct words of each unit. One task clusters the
-    table, which has at most units ** 2 rows."""
+def fit_classes(bigrams: DataFrame, units: int, how: Brown) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each unit, and the bigrams of these classes. One task clusters the table, which has at
+    most units ** 2 rows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros((2, units * units))
-        counts[0, pdf["pair"].to_numpy()] = pdf["n"].to_numpy()
-        counts[1, pdf["pair"].to_numpy()] = pdf["apart"].to_numpy()
-        every, apart = counts.reshape(2, units, units)
-        of = exchange(every - apart, how.classes, how.sweeps)
+        counts = np.zeros(units * units)
+        counts[pdf["pair"].to_numpy()] = pdf["n"].to_numpy()
+        counts = counts.reshape(units, units)
+        of = exchange(counts, how.classes, how.sweeps)
         member = np.zeros((units, how.classes))
         member[np.arange(units), of] = 1
-        of_class = member.T @ types
-
-        def ratio(table: np.ndarray) -> np.ndarray:
-            tokens = table.sum(axis=0)
-            unigram = tokens.sum() + 0.5 * (types.sum() + 1)
-            return _transitions(table, how.smooth) * unigram / (tokens + 0.5 * (of_class + 1))
-
-        learned, others = member.T @ (every - apart) @ member, member.T @ apart @ member
-        weight = fit_weight(others, ratio(learned))
-        np.savez(out := io.BytesIO(), of=of, ratio=ratio(learned + others), weight=np.array(weight))
+        np.savez(out := io.BytesIO(), of=of, table=member.T @ counts @ member)
         return pd.DataFrame({"model": [out.getvalue()]})
 
     rows = bigrams.groupBy(F.lit(0).alias("one")).applyInPandas(run, "model binary").collect()
     if not rows:
-        none = np.zeros((how.classes, how.classes))
-        return {"of": np.zeros(units, np.int64), "ratio": none, "weight": np.array(0.0)}
+        return np.zeros(units, np.int64), np.zeros((how.classes, how.classes))
     with np.load(io.BytesIO(bytes(rows[0]["model"]))) as model:
-        return {k: model[k] for k in model.files}
+        return model["of"], model["table"]
+
+
+def fit_ratio(every: np.ndarray, apart: np.ndarray, types: np.ndarray, smooth: float) -> tuple[np.ndarray, float]:
+    """Of a class bigram, transition times what emission has over the unigram; and the weight of the
+    class model. ``every``, ``apart``: class bigrams; ``types``: distinct words of each class."""
+
+    def ratio(table: np.ndarray) -> np.ndarray:
+        tokens = table.sum(axis=0)
+        unigram = tokens.sum() + 0.5 * (types.sum() + 1)
+        return _transitions(table, smooth) * unigram / (tokens + 0.5 * (types + 1))
+
+    return ratio(every), fit_weight(apart, ratio(every - apart))
+
+
+def class_bigrams(tagged: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class bigrams of training rows, and of those apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, classes * classes), np.int64)
+        for batch in batches:
+            for tags, apart in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                of = np.frombuffer(b"\0" + tags, np.uint8).astype(np.int64)
+                counts[int(apart)] += np.bincount(of[:-1] * classes + of[1:], minlength=classes * classes)
+        kind, pair = np.nonzero(counts)
+        columns = [pa.array(pair), pa.array(kind == 1), pa.array(counts[kind, pair])]
+        yield pa.RecordBatch.from_arrays(columns, ["pair", "apart", "n"])
+
+    rows = tagged.filter("train").select("tags", "apart").mapInArrow(run, "pair bigint, apart boolean, n bigint")
+    found = np.zeros((2, classes * classes))
+    for row in rows.groupBy("pair", "apart").agg(F.sum("n").alias("n")).collect():  # pairs of classes
+        found[int(row["apart"]), row["pair"]] = row["n"]
+    rest, apart = found.reshape(2, classes, classes)
+    return rest + apart, apart
 
 
 def class_scores(docs: DataFrame, how: Brown = Brown()) -> DataFrame:
@@ -290,60 +461,54 @@ def class_scores(docs: DataFrame, how: Brown = Brown()) -> DataFrame:
     text. Repeated rows count as often as they occur. Without training rows every probability is that
     of an unknown word. Further columns are ignored; an empty table gives an empty result.
     """
+    if not 1 <= how.classes <= 127:
+        raise ValueError("classes are numbered in bytes: 1 to 127")
     ship_package(docs.sparkSession)
     docs = blocked(docs, how)
-    by_word = Window.partitionBy("word")
-    # A word has one row in a block, so the most frequent word has as many rows as there are blocks.
-    words = stage(
-        block_words(docs)
-        .withColumn("total", F.sum("n").over(by_word))
-        .withColumn("first", F.col("block") == F.min("block").over(by_word)),
-        "words",
-    )
-    known = words.filter("first and total > 0")
-    n_tokens, n_words = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
-    leading = known.filter(F.col("word") != END).orderBy(F.desc("total"), "word").limit(how.top_words)
-    top = [r["word"] for r in leading.select("word").collect()]
-    units = len(top) + 1 + how.endings
-    types = np.ones(units)
-    types[1 + len(top) :] = 0
-    for row in known.groupBy(_ending(how).alias("unit")).count().collect():  # a row for each ending
-        types[1 + len(top) + row["unit"]] = row["count"]
-    for word in top:
-        types[1 + len(top) + zlib.crc32(word.encode()[-2:]) % how.endings] -= 1
-    types[1 + len(top) + zlib.crc32(b"") % how.endings] -= n_words > 0  # the end has a unit of its own
-    model = fit_classes(unit_bigrams(docs, top, how), units, types, how)
-    of, ratio, weight = model["of"], model["ratio"], float(model["weight"])
-    unseen = n_tokens + 0.5 * (n_words + 1)
-
-    def run(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        unit_of = _Units(top, how.endings)
-        names = [w.encode() for w in counts["word"]]
+    leading = word_counts(docs).orderBy(F.desc("n"), "word").limit(how.top_words)
+    top = [r["word"] for r in leading.collect()]
+    of, table = fit_classes(unit_bigrams(docs, top, how), len(top) + 1 + how.endings, how)
+    words = stage(placed_words(block_words(docs, top, of, how), top, of, table, how), "words")
+    n_tokens = words.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    types = np.zeros(how.classes)
+    by_class = words.select(F.posexplode("types").alias("class", "n")).groupBy("class").agg(F.sum("n").alias("n"))
+    for row in by_class.collect():  # a row for each class
+        types[row["class"]] = row["n"]
+    unseen = n_tokens + 0.5 * (types.sum() + 1)
+
+    def tag(texts: pd.DataFrame, packed: pd.DataFrame) -> pd.DataFrame:
+        names = [w for part in packed["words"] for w in part.split(b"\n")]
         place = {w: i for i, w in enumerate(names)}
-        n = counts["total"].to_numpy(np.float64)
-        unit = np.array([unit_of[w] if w else 0 for w in names], np.int64)
-        group = of[unit]
+        n = np.frombuffer(b"".join(packed["totals"]), np.int64).astype(np.float64)
+        group = np.frombuffer(b"".join(packed["classes"]), np.uint8)
         log_base = np.log10((n + 0.5) / unseen)
         rows = []
-        for doc_id, text, train in zip(texts["doc_id"], texts["text"], texts["train"], strict=True):
+        for doc_id, text, train, apart in zip(*(texts[c] for c in ("doc_id", "text", "train", "apart")), strict=True):
             tokens = _words(text.encode() if isinstance(text, str) else None)
             ids = np.empty(len(tokens) + 1, np.int64)
             ids[:-1] = np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
             ids[-1] = place[b""]
-            classes = group[ids]
-            before = np.concatenate([[0], classes[:-1]])
-            over = weight * ratio[before, classes] + 1 - weight
-            rows.append(
-                (doc_id, not train, len(ids), int((n[ids] > 0).sum()), float(log_base[ids].sum()), float((log_base[ids] + np.log10(over)).sum()))
-            )
-        columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-        out = pd.DataFrame(rows, columns=columns)
-        return out.astype({"doc_id": "Int64"})
-
+            known, base = int((n[ids] > 0).sum()), float(log_base[ids].sum())
+            rows.append((doc_id, train, apart, len(ids), known, base, group[ids].tobytes()))
+        columns = ["doc_id", "train", "apart", "n_tokens", "n_known", "base_score", "tags"]
+        return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+
+    kind = "doc_id bigint, train boolean, apart boolean, n_tokens bigint, n_known bigint, base_score double, tags binary"
+    both = docs.groupBy("block").cogroup(words.select("block", "words", "totals", "classes").groupBy("block"))
+    tagged = stage(both.applyInPandas(tag, kind), "tagged")
+    ratio, weight = fit_ratio(*class_bigrams(tagged, how.classes), types, how.smooth)
+    over = np.log10(weight * ratio + 1 - weight).ravel()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = []
+            for tags in batch.column("tags").to_pylist():
+                classes = np.frombuffer(b"\0" + tags, np.uint8).astype(np.int64)
+                more.append(over[classes[:-1] * how.classes + classes[1:]].sum())
+            scores = pc.add(batch.column("base_score"), pa.array(more, pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*batch.schema.names[:-1], "score"])
+
+    kept = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
+    scored = tagged.withColumn("held_out", ~F.col("train")).select(*kept, "tags")
     kind = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    scored = (
-        docs.groupBy("block")
-        .cogroup(words.select("block", "word", "total").groupBy("block"))
-        .applyInPandas(run, kind)
-    )
-    return scored.withColumn("train_tokens", F.lit(int(n_tokens)).cast("bigint"))
+    return scored.mapInArrow(score, kind).withColumn("train_tokens", F.lit(int(n_tokens)).cast("bigint"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from creditfeat.llm import attention, near_dedup, onebit, quality_rules, queries, secrets, sharding
+from creditfeat.llm import attention, class_lm, near_dedup, onebit, quality_rules, queries, secrets, sharding
 from creditfeat.llm.components import connected_components
 from tests.llm.data import documents
 from tests.llm.test_operators import der
@@ -201,3 +201,50 @@ def test_windows_are_hashed_by_halves(spark):
     assert {r.i: r.n for r in found.collect()} == {i: brute(w) for i, w in enumerate(lists)}
     plan = found._jdf.queryExecution().analyzed().toString()
     assert ", 8)" not in plan  # no window is cut out word by word
+
+
+def test_rare_words_take_the_class_that_raises_the_likelihood_most():
+    rng = np.random.default_rng(4)
+    counts = rng.poisson(0.4, (40, 40)) * rng.integers(1, 6, (40, 40))
+    of = np.concatenate([[0], 1 + rng.integers(0, 4, 39)])
+
+    def likelihood(of):
+        member = np.eye(5)[of]
+        table = member.T @ counts @ member
+        log = lambda x: (x * np.log(np.maximum(x, 1e-12))).sum()
+        return log(table) - log(table.sum(0)) - log(table.sum(1))
+
+    member, words = np.eye(5, dtype=int)[of], np.arange(20, 40)
+    other = counts * (1 - np.eye(40, dtype=int))
+    table = member.T @ counts @ member
+    got = class_lm.best_classes(table, of[words], (other.T @ member)[words], (other @ member)[words], counts[words, words])
+    moved = 0
+    for w, best in zip(words, got, strict=True):
+        tried = [likelihood(np.where(np.arange(40) == w, c, of)) for c in range(1, 5)]
+        assert tried[best - 1] >= max(tried) - 1e-6
+        moved += best != of[w]
+    assert moved
+
+
+def test_words_of_one_ending_get_classes_of_their_own(spark):
+    """Frequent words of two kinds take turns; rare words of both kinds have one ending, so one unit."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for i in range(400):
+        at = [(kind, rng.integers(5), rng.integers(50), rng.random() < 0.25) for kind in "nv" * 15]
+        texts.append((i, " ".join(f"{kind}{rare}xx" if is_rare else f"{kind}{often}" for kind, often, rare, is_rare in at)))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    how = class_lm.Brown(top_words=10, endings=8, classes=4, block_bytes=20_000)
+    blocks = class_lm.blocked(docs, how)
+    top = [f"{kind}{i}" for kind in "nv" for i in range(5)]
+    of, table = class_lm.fit_classes(class_lm.unit_bigrams(blocks, top, how), 19, how)
+    placed = class_lm.placed_words(class_lm.block_words(blocks, top, of, how), top, of, table, how).collect()
+    found = {}
+    for r in placed:
+        for w, c in zip(bytes(r["words"]).split(b"\n"), bytes(r["classes"]), strict=True):
+            assert found.setdefault(w, c) == c  # the same in every block
+    kinds = [{c for w, c in found.items() if w[:1] == k and w.endswith(b"xx")} for k in (b"n", b"v")]
+    assert not kinds[0] & kinds[1]
+    assert sum(sum(r["types"] or []) for r in placed) == len(found)
+    rows = class_lm.class_scores(docs, how).collect()
+    assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
