@@ -226,3 +226,42 @@ def test_leak_report_runs_one_search_at_a_time(spark, tmp_path, monkeypatch):
     neighbours.leak_report_neighbours(spark, str(tmp_path))
     plan = found[0]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("lattice", [False, True])
+def test_every_labelled_row_is_searched_part_by_part(spark, lattice, monkeypatch):
+    monkeypatch.setattr(knn, "REFERENCE_ROWS", 50)
+    train = rows(240, 4, 11, lattice) + [(7000, 1, 2, [0.0] * 4)] * 120  # equal in all: they are dealt too
+    df, model = fitted(spark, train, "fold")
+    sizes = [len(model._broadcast(p).value.keys) for p in model._parts()]
+    assert model.reference.count() == len(train) and len(sizes) == 8 and max(sizes) < 100
+    want = brute(train, train, lambda q: q[2], KS)
+    for r in model.transform(df, F.col("x"), "key", "oof").collect():
+        assert rates(r) == pytest.approx(want[r["key"]])
+    whole = brute(train, train, lambda q: None, KS)
+    for r in model.transform(df, F.col("x"), "key", "full_fit").collect():
+        assert rates(r) == pytest.approx(whole[r["key"]])
+
+
+def test_nothing_is_drawn_unless_a_caller_asks(spark):
+    n = 2 * knn.REFERENCE_ROWS + 1000
+    df = spark.range(n).select(F.col("id").alias("key"), (F.col("id") % 2).cast("int").alias("y"), F.array(F.rand(3)).alias("x"))
+    model = knn.NeighbourRates.fit(df, F.col("x"), "key", "y", KS)
+    assert model.rows == n and model.reference.count() == n and len(model._parts()) == 3
+
+
+def test_parts_give_the_lists_of_the_whole():
+    rng = np.random.default_rng(3)
+    points, q = rng.normal(size=(3000, 6)).round(1), rng.normal(size=(300, 6)).round(1)
+    keys, labels = rng.permutation(3000), rng.integers(0, 2, 3000)
+
+    def reference(use):
+        z = points[use]
+        middle = z.mean(axis=0, keepdims=True)
+        return ns.Reference(z, keys[use], labels[use], np.array([0, len(z)]), middle, ns.distances(z, middle).max(axis=0))
+
+    whole, found = ns.nearest(q, reference(np.arange(3000)), 40), None
+    for use in (np.arange(0, 25), np.arange(25, 25), np.arange(25, 1200), np.arange(1200, 3000)):
+        found = ns.nearest(q, reference(use) if len(use) else ns.Reference(points[:0], keys[:0], labels[:0], np.zeros(1, int), points[:0], np.zeros(0)), 40, found)
+    for a, b in zip(whole, found, strict=True):
+        assert np.array_equal(a, b)
